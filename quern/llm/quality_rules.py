@@ -131,7 +131,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     ratios = {
         "mean_word_chars": _ratio(F.col("word_chars"), n),
         "symbol_ratio": _ratio(F.col("n_symbols"), n),
-        "stop_ratio": _ratio(F.col("n_stop_words"), n),
+        "stop_ratio": _ratio(F.col("n_stop_words") + 1, n),  # one more, so that a few words alone never fail
         "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
         "capital_ratio": _ratio(F.col("n_capitals"), F.col("word_chars")),
         "stutter_ratio": _ratio(F.col("n_stutters"), n),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quern.plans.catalog import Query
 
-from quern.llm import quality_rules
+from quern.llm import quality_rules, simhash
 from quern.llm.common import table
 
 QUERIES: dict[str, Query] = {}
@@ -20,3 +20,9 @@ def register(f: Query) -> Query:
 def op5_quality_rules(spark, sf_dir):
     kept = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *kept)
+
+
+@register
+def op6_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", simhash.as_hex(out["fp"]).alias("fingerprint"), "component_id")

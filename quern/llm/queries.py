@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from quern.plans.catalog import Query
 
-from quern.llm import quality_rules, simhash
-from quern.llm.common import table
+from quern.llm import bpe, quality_model, quality_rules, simhash
+from quern.llm.common import remainder, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +19,14 @@ def register(f: Query) -> Query:
     return f
 
 
+@register
+def op2_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
+    held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return quality_model.classify(docs, learned).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @register
 def op5_quality_rules(spark, sf_dir):
     kept = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
@@ -26,3 +37,10 @@ def op5_quality_rules(spark, sf_dir):
 def op6_simhash(spark, sf_dir):
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", simhash.as_hex(out["fp"]).alias("fingerprint"), "component_id")
+
+
+@register
+def op7_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).drop("text")

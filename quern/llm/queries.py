@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.catalog import Query
 
-from quern.llm import bpe, quality_model, quality_rules, simhash
+from quern.llm import bpe, mixing, quality_model, quality_rules, simhash
 from quern.llm.common import remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,12 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_model.classify(docs, learned).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@register
+def op4_source_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @register
 def op5_quality_rules(spark, sf_dir):
     kept = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.catalog import Query
 
-from quern.llm import bpe, mixing, quality_model, quality_rules, simhash
+from quern.llm import bpe, mixing, pii, quality_model, quality_rules, simhash
 from quern.llm.common import remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,15 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_model.classify(docs, learned).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+#: The key of the queries; a user of ``pii`` passes a secret one.
+SURROGATE_KEY = b"quern-public-demonstration-key"
+
+
+@register
+def op3_pii_surrogates(spark, sf_dir):
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 @register
 def op4_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

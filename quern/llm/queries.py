@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.catalog import Query
 
-from quern.llm import bpe, mixing, pii, quality_model, quality_rules, simhash
+from quern.llm import bpe, language, mixing, pii, quality_model, quality_rules, simhash
 from quern.llm.common import remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,15 @@ def register(f: Query) -> Query:
     return f
 
 
+@register
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.fit(docs.filter(~held))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @register
 def op2_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.catalog import Query
 
-from quern.llm import bpe, language, mixing, pii, quality_model, quality_rules, simhash
+from quern.llm import bpe, language, mixing, multiset, pii, quality_model, quality_rules, simhash
 from quern.llm.common import remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,8 @@ def op7_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).drop("text")
+
+
+@register
+def op8_multiset_fingerprint(spark, sf_dir):
+    return multiset.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.catalog import Query
 
-from quern.llm import bpe, language, mixing, multiset, pii, quality_model, quality_rules, sharding, simhash
+from quern.llm import bpe, language, mixing, multiset, pii, quality_model, quality_rules, sharding, simhash, site_style
 from quern.llm.common import remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,11 @@ def op8_multiset_fingerprint(spark, sf_dir):
     return multiset.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register
+def op9_main_text(spark, sf_dir):
+    return site_style.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @register
 def op10_shards(spark, sf_dir):
     return sharding.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))

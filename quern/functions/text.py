@@ -81,10 +81,13 @@ def _ending(w: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Nine fixed words, then plurals, -ing and -ed, then y to i after a consonant; shorter than three bytes stays."""
-    low = ascii_lower(word)
-    fixed = F.coalesce(*[F.when(low == k, F.lit(v)) for k, v in STEMS.items()])
-    ruled = bind(_plural(low), lambda a: bind(_ending(a), lambda b: F.regexp_replace(b, r"([^aeiou])y\z", "$1i")))
-    return F.when(F.octet_length(word) < 3, word).otherwise(F.coalesce(fixed, ruled))
+    fixed = F.create_map(*[F.lit(x) for pair in STEMS.items() for x in pair])
+
+    def ruled(low: Column) -> Column:
+        rules = bind(_plural(low), lambda a: bind(_ending(a), lambda b: F.regexp_replace(b, r"([^aeiou])y\z", "$1i")))
+        return F.when(low.isin(*STEMS), F.element_at(fixed, low)).otherwise(rules)
+
+    return F.when(F.octet_length(word) < 3, word).otherwise(bind(ascii_lower(word), ruled))
 
 
 def process(text: Column, c: TextConfig) -> Column:

@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from quern.config import BM25Config, HybridConfig, VectorConfig
 from quern.functions.columns import bind
 from quern.operators.knn import knn
 from quern.operators.rank import search
 
-QUERY = Window.partitionBy("query_id")
+
+
+def _query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def _normalized(x: Column, how: str) -> Column:
     if how == "min_max":
-        low, high = F.min(x).over(QUERY), F.max(x).over(QUERY)
+        low, high = F.min(x).over(_query()), F.max(x).over(_query())
         return F.when(high - low > 1e-10, (x - low) / (high - low)).otherwise(0.5)
     if how == "z_score":
-        spread = F.stddev_pop(x).over(QUERY)
-        return F.when(spread > 1e-10, (x - F.avg(x).over(QUERY)) / spread).otherwise(0.0)
-    whole = F.sum(x).over(QUERY)
-    return F.when(whole > 1e-10, x / whole).otherwise(1.0 / F.count("*").over(QUERY))
+        spread = F.stddev_pop(x).over(_query())
+        return F.when(spread > 1e-10, (x - F.avg(x).over(_query())) / spread).otherwise(0.0)
+    whole = F.sum(x).over(_query())
+    return F.when(whole > 1e-10, x / whole).otherwise(1.0 / F.count("*").over(_query()))
 
 
 def merge(sparse: DataFrame, dense: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def dedupe(rows: DataFrame, docs: DataFrame, c: HybridConfig, id: str = "doc_id"
 
 
 def finish(rows: DataFrame, c: HybridConfig) -> DataFrame:
-    order = QUERY.orderBy(F.desc(F.round("hybrid_score", 9)), "doc_id")
+    order = _query().orderBy(F.desc(F.round("hybrid_score", 9)), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= c.top_k)
 
 

@@ -14,7 +14,7 @@ from quern.functions.text import process
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf[, positions]), doc_stats(doc_id, term_count, unique_terms), corpus(n_docs, avgdl)."""
+    """postings(term, doc_id, tf, dl[, positions]) with the document's length dl, doc_stats(doc_id, term_count, unique_terms), corpus(n_docs, avgdl)."""
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -26,11 +26,14 @@ class Index:
         stats = self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
         return with_idf(stats, self.corpus)
 
-    def doc_lengths(self) -> DataFrame:
-        """doc_stats with the length normalization of BM25, 1 if the corpus has no token."""
+    def with_norm(self, rows: DataFrame, length: str) -> DataFrame:
+        """Rows with the length normalization of BM25, 1 if the corpus has no token. The corpus is one row."""
         c = self.config if isinstance(self.config, BM25Config) else BM25Config()
-        norm = F.when(F.col("avgdl") > 0, 1 - c.b + c.b * F.col("term_count") / F.col("avgdl")).otherwise(1.0)
-        return self.doc_stats.crossJoin(F.broadcast(self.corpus)).withColumn("norm", norm).drop("n_docs", "avgdl")
+        norm = F.when(F.col("avgdl") > 0, 1 - c.b + c.b * F.col(length) / F.col("avgdl")).otherwise(1.0)
+        return rows.crossJoin(F.broadcast(self.corpus)).withColumn("norm", norm).drop("n_docs", "avgdl")
+
+    def doc_lengths(self) -> DataFrame:
+        return self.with_norm(self.doc_stats, "term_count")
 
     def metadata(self) -> DataFrame:
         """One row: documents, terms, postings, occurrences, mean length."""
@@ -86,13 +89,14 @@ def build_index(docs: DataFrame, c: IndexConfig = IndexConfig(), id: str = "doc_
     c.validate()
     rows = analyzed(docs, c, id, text)
     stats = rows.select("doc_id", F.size("tokens").cast("long").alias("term_count"), F.size(F.array_distinct("tokens")).cast("long").alias("unique_terms"))
+    dl = F.size("tokens").cast("long").alias("dl")
     if positions:
-        tokens = rows.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+        tokens = rows.select("doc_id", dl, F.posexplode("tokens").alias("pos", "term"))
     else:
-        tokens = rows.select("doc_id", F.explode("tokens").alias("term"))
+        tokens = rows.select("doc_id", dl, F.explode("tokens").alias("term"))
     if terms is not None:
         tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
-    kinds = [F.count("*").alias("tf"), *([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])]
+    kinds = [F.count("*").alias("tf"), F.max("dl").alias("dl"), *([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])]
     postings = tokens.groupBy("term", "doc_id").agg(*kinds)
     if c.min_term_frequency > 1:
         postings = postings.filter(F.col("tf") >= c.min_term_frequency)

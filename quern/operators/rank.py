@@ -25,7 +25,7 @@ def query_terms(queries: DataFrame, c: IndexConfig, id: str = "query_id", text:
 def _hits(index: Index, terms: DataFrame) -> DataFrame:
     """Postings of the query terms with df and idf; statistics are of these terms only, over all documents."""
     own = index.only(terms.select("term").distinct())
-    return own.postings.select("term", "doc_id", "tf").join(own.term_stats().drop("ttf"), "term").join(terms, "term")
+    return own.postings.select("term", "doc_id", "tf", "dl").join(own.term_stats().drop("ttf"), "term").join(terms, "term")
 
 
 def _candidates(scored: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _rank(index: Index, queries: DataFrame, weight: Column, start: float, length
     terms = query_terms(queries, index.config, id, text)
     hits = _hits(index, terms)
     if lengths:
-        hits = hits.join(index.doc_lengths().select("doc_id", "norm"), "doc_id")
+        hits = index.with_norm(hits, "dl")  # a posting carries its document's length: no join with the documents
     scored = hits.groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("matched"), (F.sum(weight) + start).alias("score"))
     return finish(_candidates(scored), index.config)
 
@@ -83,8 +83,7 @@ def search(docs: DataFrame, queries: DataFrame, c: IndexConfig, method: str = "b
 def normalized_tf(index: Index) -> DataFrame:
     """Postings with tf / (tf + k1 * length normalization)."""
     c = index.config if isinstance(index.config, BM25Config) else BM25Config()
-    joined = index.postings.join(index.doc_lengths().select("doc_id", "norm"), "doc_id")
-    return joined.withColumn("normalized_tf", F.col("tf") / (F.col("tf") + c.k1 * F.col("norm"))).drop("norm")
+    return index.with_norm(index.postings, "dl").withColumn("normalized_tf", F.col("tf") / (F.col("tf") + c.k1 * F.col("norm"))).drop("norm")
 
 
 def top_k(results: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few input splits (such as one small file) dealt to all cores; large inputs stay where they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A Parquet table of a directory, by any path that Spark reads."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spread(spark.read.parquet(f"{directory}/{name}.parquet"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import per_worker
+from quern.llm.common import in_small_batches, per_worker
 
 #: Characters that are encoded at once; matches at a border that are encoded again at first.
 LEAF, WINDOW = 16_384, 4
@@ -136,7 +136,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
         for t in batches:
             yield pd.Series([codec.encode(x).astype(np.int32) for x in t])
 
-    return docs.withColumn(to, ids(F.col(text)))
+    return in_small_batches(docs).withColumn(to, ids(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -149,7 +149,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
         for t in batches:
             yield pd.Series([codec.decode(np.asarray([] if x is None else x, np.int64)) for x in t])
 
-    return docs.withColumn(to, back(F.col(ids)))
+    return in_small_batches(docs).withColumn(to, back(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -166,5 +166,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.withColumn("_digest", digest(F.col(text)))
+    out = in_small_batches(docs).withColumn("_digest", digest(F.col(text)))
     return out.withColumns({k: F.col("_digest")[k] for k in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_digest")

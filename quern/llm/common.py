@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 from collections.abc import Callable, Iterable
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of other characters than these six.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of texts in one batch for Python.
+BATCH_ROWS = 256
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
@@ -59,22 +60,30 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; texts now go to Python in batches of few rows, so that a worker never holds many whole texts.
+
+    Only Spark's default of 10,000 rows a batch is changed; a session's own setting stays.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@functools.cache
-def _weak() -> dict:
-    return {}
+_HELD: list = [None, None]
 
 
 def per_worker(key: object, make: Callable[[], object]) -> object:
-    """Kept for the life of a Python worker, one value at a time for each kind of key."""
-    kind = key[0]
-    held = _weak()
-    if held.get(kind, (None,))[0] != key:
-        held[kind] = (key, make())
-    return held[kind][1]
+    """Kept in a Python worker until another operator's value takes its place, so that they don't add up."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        _HELD[:] = [key, make()]
+    return _HELD[1]
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

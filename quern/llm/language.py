@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import per_worker
+from quern.llm.common import in_small_batches, per_worker
 
 ORDER, BORDER = 5, 0
 WORD = re.compile(r"[^\W\d_]+")
@@ -307,7 +307,7 @@ def _calibrate(model: Model, held_back: DataFrame, p: Training) -> None:
         for t in batches:
             yield pd.Series(list(s.entropies(list(t))))
 
-    got = held_back.select("l", entropies(F.col("t")).alias("h")).collect()
+    got = in_small_batches(held_back).select("l", entropies(F.col("t")).alias("h")).collect()
     truth = np.array([model.langs.index(r["l"]) if r["l"] in model.langs else -1 for r in got], int)
     h = np.array([r["h"] for r in got], float).reshape(-1, n)
     use = (truth >= 0) & ~np.isnan(h).any(axis=1)
@@ -337,5 +337,5 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", reject: b
                 rows = [(UNKNOWN if r else a, b, c, r) for a, b, c, r in rows]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
-    out = docs.withColumn("_lang", predict(F.col(text)))
+    out = in_small_batches(docs).withColumn("_lang", predict(F.col(text)))
     return out.withColumns({k: F.col("_lang")[k] for k in ("lang_pred", "score", "cross_entropy", "rejected")}).drop("_lang")

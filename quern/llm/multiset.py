@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from quern.llm.common import in_small_batches
 from quern.llm.ordered import with_next
 
 EQUAL, NEAR = 8, 128
@@ -138,5 +139,5 @@ def _row(key, text: str, fp: Fingerprint, following: str, other: Fingerprint) ->
 
 def compare_edited(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """For every row its fingerprint, that of its edited text and how like it is to that and to the next row's."""
-    rows = with_next(docs, text, id)
+    rows = with_next(in_small_batches(docs), text, id)
     return rows.mapInPandas(lambda batches: _pairs(batches, id), f"{id} long, {OUT}")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import per_worker
+from quern.llm.common import in_small_batches, per_worker
 
 ROUNDS = 8
 
@@ -322,7 +322,7 @@ def _udf(docs: DataFrame, key: bytes):
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """The rows with the text rewritten, and n_entities, n_distinct, n_collisions and spans."""
-    out = docs.withColumn("_pii", _udf(docs, key)(F.col(text)))
+    out = in_small_batches(docs).withColumn("_pii", _udf(docs, key)(F.col(text)))
     names = ("n_entities", "n_distinct", "n_collisions", "spans")
     return out.withColumns({text: F.col("_pii.text_out"), **{n: F.col("_pii")[n] for n in names}}).drop("_pii")
 
@@ -344,5 +344,5 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 rows.append([{"kind": k, "entity": hashlib.blake2b(canonical(k, a).encode(), key=s.permute.key, digest_size=16).hexdigest(), "surrogate": canonical(k, b)} for k, _, _, a, b in found])
             yield pd.Series(rows)
 
-    each = docs.select(F.explode(pairs(F.col(text))).alias("x")).select("x.*").distinct()
+    each = in_small_batches(docs).select(F.explode(pairs(F.col(text))).alias("x")).select("x.*").distinct()
     return each.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).filter("n > 1")

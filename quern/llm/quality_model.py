@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import per_worker, stable
+from quern.llm.common import in_small_batches, per_worker, stable
 
 BITS, GROUP = 18, 1250
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -158,4 +158,4 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]) -> Callable[[Column
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p: Training = Training(), text: str = "text", id: str = "doc_id", label: str = "quality") -> DataFrame:
     """The documents with ``score`` (how likely label 1 is) and ``predicted``."""
     score = scorer(docs, fit(docs, labels, p, text, id, label))
-    return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return in_small_batches(docs).withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.common import partitions, stable
+from quern.llm.common import in_small_batches, partitions, stable
 from quern.llm.components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -168,7 +168,7 @@ def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", large: int = LARGE) -> DataFrame:
     """One row (id, fp, component_id) for each row of the documents."""
-    rows = stable(docs.select(F.col(id), fingerprint(F.col(text)).alias("fp")))
+    rows = stable(in_small_batches(docs).select(F.col(id), fingerprint(F.col(text)).alias("fp")))
     firsts = rows.groupBy("fp").agg(F.min(id).alias("first"))
     tied = stable(components(links(firsts.select("fp"), large)))
     grouped = firsts.join(tied.withColumnRenamed("node", "fp"), "fp", "left")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stable
+from quern.llm.common import in_small_batches, stable
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -205,7 +205,7 @@ def _host(url: str):
 def style_tree(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """A row for each host and node: host, path, pages, presentation, content, share (of the article text), inside."""
     features = F.pandas_udf(_features, FEATURES)
-    rows = pages.select(_host(url).alias("host"), F.explode(features(F.col(page))).alias("x")).select("host", "x.*")
+    rows = in_small_batches(pages).select(_host(url).alias("host"), F.explode(features(F.col(page))).alias("x")).select("host", "x.*")
     # rows of one text and node meet in partial sums before they are exchanged
     counted = rows.groupBy("host", "path", "feature", (F.col("chars") < 0).alias("layout")).agg(
         F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("pages"), F.sum("chars").alias("chars"),
@@ -267,7 +267,7 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", p: Pruning =
         for pages_, lists in batches:
             yield pd.Series([main_text(x, frozenset() if g is None else frozenset(map(int, g))) for x, g in zip(pages_, lists, strict=True)], dtype=object)
 
-    hosted = pages.withColumn("_host", _host(url))
+    hosted = in_small_batches(pages).withColumn("_host", _host(url))
     small = gone.withColumnRenamed("host", "_host")
     joined = hosted.join(F.broadcast(small) if n <= MOST_BRANCHES else small, "_host", "left") if n else hosted.withColumn("gone", F.lit(None).cast("array<long>"))
     out = joined.withColumn("text", text_of(F.col(page), F.col("gone")))

@@ -115,7 +115,7 @@ def normalize(text: Column, c: TextConfig = TextConfig()) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     if n <= 1:
         return strings()
-    at = lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), "_")
+    at = lambda i: F.concat_ws("_", *[F.get(tokens, i + k) for k in range(n)])
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), at)).otherwise(strings())
 
 

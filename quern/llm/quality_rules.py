@@ -65,10 +65,13 @@ def _covered(starts: Column) -> Column:
 
 
 def _repeated(w: Column, hashes: Column) -> Column:
-    """Hashes name the windows that may repeat; then their words decide."""
+    """Hashes name the windows that may repeat; then their words decide.
+
+    A window is spelled by five lookups: ``slice`` copies the whole array each time.
+    """
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p"))))
     found = lambda at: F.sort_array(
-        F.transform(at, lambda p: F.struct(F.array_join(F.slice(w, p, F.lit(WINDOW)), " ").alias("s"), p.alias("p")))
+        F.transform(at, lambda p: F.struct(F.concat_ws(" ", *[F.get(w, p - 1 + k) for k in range(WINDOW)]).alias("s"), p.alias("p")))
     )
     return let(
         let(let(pairs, lambda s: _runs(s, "h", "p")), found),

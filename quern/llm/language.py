@@ -66,12 +66,12 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(ORDER):
             moved = np.zeros(n, np.uint64)
-            moved[k:] = codes[: n - k] if k else codes
+            moved[k:] = codes[: max(n - k, 0)]
             run = run + (moved + np.uint64(1)) * _FACTORS[k]
             if k:
                 valid = valid.copy()
                 valid[:k] = False
-                if k > 1:
+                if 1 < k < n:
                     valid[k:] &= ~border[1 : n - k + 1]  # the character before last added is now in the middle
             h = run * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)

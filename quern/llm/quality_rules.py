@@ -104,42 +104,55 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts of the rules to every row."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _counts(text: Column) -> Column:
+    """All counts of a text as one struct.
+
+    One expression binds the words and lines, so that a filter which Catalyst pushes below the projection cannot copy
+    the splitting of the text into the loops over its words.
+    """
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    cut = docs.withColumns({"_words": words(F.col(text)), "_lines": lines})
-    w, rows, seen = F.col("_words"), F.col("_lines"), F.col("_seen")
     stops = [xxhash.xxh64_intdigest(x.encode(), 42) for x in STOP_SET]
-    return (
-        cut.withColumn("_seen", _of_words(w, [x - (x >> 63 << 64) for x in stops]))
-        .withColumns(
-            {
-                "n_words": F.size(w).cast("long"),
-                "word_chars": F.length(F.regexp_replace(t, SPACE_RUN, "")).cast("long"),
-                "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
-                "n_lines": F.size(rows).cast("long"),
-                "n_dup_lines": (F.size(rows) - F.size(F.array_distinct(rows))).cast("long"),
-                "n_capitals": F.regexp_count(t, F.lit("\\p{Lu}")).cast("long"),
-                **{k: seen[k] for k in ("n_repeat_words", "n_stop_words", "n_stutters")},
-            }
+    signed = [x - (x >> 63 << 64) for x in stops]
+
+    def struct(w: Column, rows: Column, seen: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(t, SPACE_RUN, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+            F.size(rows).cast("long").alias("n_lines"),
+            (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
+            F.regexp_count(t, F.lit("\\p{Lu}")).cast("long").alias("n_capitals"),
+            *[seen[k].alias(k) for k in ("n_repeat_words", "n_stop_words", "n_stutters")],
         )
-        .drop("_words", "_lines", "_seen")
-    )
+
+    return let(words(text), lambda w: let(lines, lambda rows: let(_of_words(w, signed), lambda seen: struct(w, rows, seen))))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_capitals", "n_repeat_words", "n_stop_words", "n_stutters")
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
-    """Whether a measured row fails the base conditions, and whether it passes all rules."""
-    n = F.col("n_words")
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the counts of the rules to every row."""
+    return _with_fields(docs, _counts(F.col(text)), COUNTS)
+
+
+def _with_fields(docs: DataFrame, struct: Column, names: tuple[str, ...]) -> DataFrame:
+    return docs.withColumn("_rules", struct).withColumns({k: F.col("_rules")[k] for k in names}).drop("_rules")
+
+
+def verdict(counts: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
+    """Whether a struct of counts fails the base conditions, and whether it passes all rules."""
+    n = counts["n_words"]
     ratios = {
-        "mean_word_chars": _ratio(F.col("word_chars"), n),
-        "symbol_ratio": _ratio(F.col("n_symbols"), n),
-        "stop_ratio": _ratio(F.col("n_stop_words") + 1, n),  # one more, so that a few words alone never fail
-        "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
-        "capital_ratio": _ratio(F.col("n_capitals"), F.col("word_chars")),
-        "stutter_ratio": _ratio(F.col("n_stutters"), n),
+        "mean_word_chars": _ratio(counts["word_chars"], n),
+        "symbol_ratio": _ratio(counts["n_symbols"], n),
+        "stop_ratio": _ratio(counts["n_stop_words"] + 1, n),  # one more, so that a few words alone never fail
+        "dup_line_ratio": _ratio(counts["n_dup_lines"], counts["n_lines"]),
+        "capital_ratio": _ratio(counts["n_capitals"], counts["word_chars"]),
+        "stutter_ratio": _ratio(counts["n_stutters"], n),
     }
-    failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
+    failed = (n < 10) | (100 * counts["n_repeat_words"] > 20 * n)
     passed = F.lit(True)
     for r in rules:
         passed = passed & ratios[r.measure].between(r.least, r.most)
@@ -148,5 +161,9 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
 
 def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row with its counts, ``base_failed`` and ``kept``."""
-    failed, passed = verdict(rules)
-    return measure(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passed)
+
+    def judged(counts: Column) -> Column:
+        failed, passed = verdict(counts, rules)
+        return F.struct(*[counts[k].alias(k) for k in COUNTS], failed.alias("base_failed"), (~failed & passed).alias("kept"))
+
+    return _with_fields(docs, let(_counts(F.col(text)), judged), (*COUNTS, "base_failed", "kept"))

@@ -90,10 +90,12 @@ def build_index(docs: DataFrame, c: IndexConfig = IndexConfig(), id: str = "doc_
     rows = analyzed(docs, c, id, text)
     stats = rows.select("doc_id", F.size("tokens").cast("long").alias("term_count"), F.size(F.array_distinct("tokens")).cast("long").alias("unique_terms"))
     dl = F.size("tokens").cast("long").alias("dl")
+    # the outer form: for the inner one Catalyst adds a filter on the tokens below, which analyses each text again
     if positions:
-        tokens = rows.select("doc_id", dl, F.posexplode("tokens").alias("pos", "term"))
+        tokens = rows.select("doc_id", dl, F.posexplode_outer("tokens").alias("pos", "term"))
     else:
-        tokens = rows.select("doc_id", dl, F.explode("tokens").alias("term"))
+        tokens = rows.select("doc_id", dl, F.explode_outer("tokens").alias("term"))
+    tokens = tokens.filter(F.col("term").isNotNull())
     if terms is not None:
         tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
     kinds = [F.count("*").alias("tf"), F.max("dl").alias("dl"), *([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])]

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quern.config import BM25Config, IndexConfig
 from quern.functions.text import process
-from quern.operators.index import Index, build_index
+from quern.operators.index import Index, build_index, with_idf
 
 
 def query_terms(queries: DataFrame, c: IndexConfig, id: str = "query_id", text: str = "text") -> DataFrame:
@@ -24,8 +24,10 @@ def query_terms(queries: DataFrame, c: IndexConfig, id: str = "query_id", text:
 
 def _hits(index: Index, terms: DataFrame) -> DataFrame:
     """Postings of the query terms with df and idf; statistics are of these terms only, over all documents."""
-    own = index.only(terms.select("term").distinct())
-    return own.postings.select("term", "doc_id", "tf", "dl").join(own.term_stats().drop("ttf"), "term").join(terms, "term")
+    own = index.only(terms.select("term").distinct()).postings.select("term", "doc_id", "tf", "dl")
+    # postings are dealt by term when they are capped: counting beside them saves computing them twice for a join
+    counted = own.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    return with_idf(counted, index.corpus).join(terms, "term")
 
 
 def _candidates(scored: DataFrame) -> DataFrame:

@@ -37,6 +37,10 @@ _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(0, 2**63, ORDER, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Languages up to which the table of their shares is broadcast; beyond, it is joined by language.
+MOST_BROADCAST = 10_000
+
+
 @dataclass(frozen=True)
 class Training:
     """``most_rows`` bounds the rows of one language; ``quantile`` of the held-back texts are not rejected."""
@@ -279,7 +283,8 @@ def fit(docs: DataFrame, p: Training = Training(), text: str = "text", lang: str
     if not sizes:
         return None
     share = spark.createDataFrame([(k, min(1.0, 1.2 * p.most_rows / n)) for k, n in sizes.items()], "l string, share double")
-    near = rows.join(share, "l").filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share"))
+    # a row for each language: broadcast while they are few, so that no language's rows gather in one task
+    near = rows.join(F.broadcast(share) if len(sizes) <= MOST_BROADCAST else share, "l").filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
     chosen = near.withColumn("r", rank).filter(F.col("r") <= p.most_rows).select(F.col("i").alias(id), "l", (F.col("r") % p.fold == 0).alias("test"))
     sample = docs.filter(F.col(lang).isNotNull()).select(id, F.col(text).alias("t")).join(F.broadcast(chosen), id)  # most_rows a language

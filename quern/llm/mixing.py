@@ -2,9 +2,11 @@
 
 Among all rates that give every source its target in words, those nearest to taking each document once (in relative
 entropy, between 0 and ``MOST`` copies) are exponential in a document's size: min(MOST, exp(lambda * size)), with one
-lambda for each source. Newton steps on the convex dual find the lambdas. Each step is one aggregation over the table
-of sizes (source, size, number), which grows with the length of texts rather than their number; a step that leaves
-the interval known to hold the solution is replaced by halving the interval. Sums are exact decimals, so reruns agree.
+lambda for each source. Newton steps on the dual find the lambdas. Each step is one aggregation over the table of
+sizes (source, size, number), which grows with the length of texts rather than their number. A solution not yet
+bracketed is reached for at distances that double; once it is, a step that leaves the bracket, or follows one that did
+not halve the miss, halves the bracket instead. Steps go on until every target is met; one that cannot be is an error.
+Sums are exact decimals, so reruns agree.
 
 Rates become copies by systematic rounding along each source's documents in order of size: the copies up to any
 document are the rates up to it, rounded, from a start chosen among ``STARTS`` as the nearest to the target. The words
@@ -28,7 +30,7 @@ from quern.llm.common import n_words, stable, uniform
 
 MOST = 3
 UNIT = 1 << 20
-STARTS, STEPS = 16, 80
+STARTS = 16
 BUCKET_ROWS = 5000
 KEYS = ["_none", "_source", "size", "_bucket"]
 
@@ -59,21 +61,19 @@ def _source_rows(spark, rows: list[tuple], names: str) -> DataFrame:
     return spark.createDataFrame(rows, names)
 
 
-def balance(cells: DataFrame, goals: dict[tuple[bool, str], tuple[float, int, int]], most: int = MOST) -> dict[tuple[bool, str], float]:
-    """The slopes. cells: (_none, _source, size, n). goals: target, words and longest size of each source."""
+def balance(cells: DataFrame, goals: dict[tuple[bool, str], tuple[float, int, float]], most: int = MOST) -> dict[tuple[bool, str], float]:
+    """The slopes. cells: (_none, _source, size, n). goals: target, words and mean size of each source."""
     spark = cells.sparkSession
-    slope, low, high, open_ = {}, {}, {}, {}
-    for key, (target, words, longest) in goals.items():
+    slope, low, high, reach, miss, open_ = {}, {}, {}, {}, {}, {}
+    for key, (target, words, mean) in goals.items():
         if words == 0 or target >= most * words * (1 - 1e-12):
             slope[key] = 1e6  # everything as often as allowed
         elif target <= 0:
             slope[key] = -1e6
         else:
-            slope[key], low[key], high[key], open_[key] = 0.0, -math.inf, math.inf, (target, longest)
+            slope[key], low[key], high[key], reach[key], miss[key], open_[key] = 0.0, -math.inf, math.inf, 0.5 / mean, math.inf, target
     amount = F.col("n") * F.col("size")
-    for _ in range(STEPS):
-        if not open_:
-            return slope
+    while open_:
         at = _source_rows(spark, [(*k, slope[k]) for k in open_], "_none boolean, _source string, slope double")
         rate = _rate(F.col("size"), F.col("slope"), most)
         inner = F.when(F.col("size") * F.col("slope") < math.log(most), amount * F.col("size") * rate).otherwise(0.0)
@@ -81,23 +81,25 @@ def balance(cells: DataFrame, goals: dict[tuple[bool, str], tuple[float, int, in
         got = sums.agg(F.sum((amount * rate).cast("decimal(38,8)")).alias("f"), F.sum(inner.cast("decimal(38,4)")).alias("d"))
         for r in got.collect():
             key = (r["_none"], r["_source"])
-            target, longest = open_[key]
-            gap, x = float(r["f"]) - target, slope[key]
+            target, words, x = open_[key], float(r["f"]), slope[key]
+            gap = words - target
             if abs(gap) <= 1e-9 * target + 1e-6:
                 del open_[key]
                 continue
-            if gap > 0:
-                high[key] = x
+            (high if gap > 0 else low)[key] = x
+            reach[key] *= 2
+            a, b = max(low[key], x - reach[key]), min(high[key], x + reach[key])
+            if math.isfinite(low[key]) and math.isfinite(high[key]):
+                a, b = low[key], high[key]
+                other = (a + b) / 2
             else:
-                low[key] = x
-            wide = 8.0 / longest
-            step = x - gap / float(r["d"]) if r["d"] else math.copysign(math.inf, -gap)
-            if not max(low[key], x - wide) < step < min(high[key], x + wide):
-                a, b = max(low[key], x - wide), min(high[key], x + wide)
-                step = (a + b) / 2
-            if step == x:
-                del open_[key]
-            slope[key] = step
+                other = a if gap > 0 else b
+            step = x + math.log(target / words) * words / float(r["d"]) if words and r["d"] else math.nan
+            if not a < step < b or abs(gap) > miss[key] / 2:
+                step = other
+            if step in (low[key], high[key]) or gap > 0 and x < -800 or gap < 0 and x > math.log(most):  # no double between, or all rates are 0 or the most
+                raise ArithmeticError(f"no rates give source {key[1]!r} its {target} words; the nearest gave {words}")
+            slope[key], miss[key] = step, abs(gap)
     return slope
 
 
@@ -117,9 +119,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     )
     parts = stable(rows.groupBy(*KEYS).agg(F.count("*").alias("n")))
     cells = stable(parts.groupBy("_none", "_source", "size").agg(F.sum("n").alias("n")))
-    known = cells.groupBy("_none", "_source").agg(F.sum(F.col("n") * F.col("size")).alias("w"), F.max("size").alias("m")).collect()
+    known = cells.groupBy("_none", "_source").agg(F.sum(F.col("n") * F.col("size")).alias("w"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("k")).collect()
     wanted = targets([(None if r["_none"] else r["_source"], r["w"]) for r in known], weights, most)
-    goals = {(r["_none"], r["_source"]): (wanted[None if r["_none"] else r["_source"]], r["w"], r["m"]) for r in known}
+    goals = {(r["_none"], r["_source"]): (wanted[None if r["_none"] else r["_source"]], r["w"], r["w"] / (r["k"] or 1)) for r in known}
     slopes = balance(cells, goals, most)
     plan = _source_rows(spark, [(*k, w, t, slopes[k]) for k, (t, w, _) in goals.items()], "_none boolean, _source string, source_size long, target double, slope double")
 

@@ -1,6 +1,7 @@
 """Each operator on odd rows and an empty table, and against brute force on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -257,6 +258,36 @@ def test_mix(spark, odd, empty):
     assert mixing.repeat_rows(out.filter("copies > 0")).count() == out.agg(F.sum("copies")).first()[0]
 
 
+def test_mix_meets_target_beside_one_very_long_text(spark):
+    """The long text's source is to give 0.1 of its words, the other 2.8 times its own."""
+    r = random.Random(7)
+    rows = [(0, "w " * 200_000, "a")] + [(i, "w " * r.randint(60, 140), "a" if i <= 1000 else "b") for i in range(1, 2501)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 14)).collect()
+    for s in ("a", "b"):
+        mine = [x for x in got if x.source == s]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= 140 and (s == "b" or mine[0].target < 0.1 * mine[0].source_size)
+
+
+def test_slopes_meet_every_target(spark):
+    cells, goals = [], {}
+    for long in (140, 50_000, 200_000, 10_000_000):
+        for part in (1e-6, 0.01, 0.1, 0.2, 0.5, 0.9, 1.0, 1.5, 2.5, 2.8, 2.9999):
+            mine = [(n, 1 + n % 7) for n in range(60, 140)] + [(long, 1)]
+            words = sum(s * n for s, n in mine)
+            cells += [(False, f"{long} {part}", s, n) for s, n in mine]
+            goals[False, f"{long} {part}"] = (part * words, words, words / sum(n for _, n in mine))
+    slopes = mixing.balance(spark.createDataFrame(cells, "_none boolean, _source string, size long, n long").cache(), goals)
+    for key, (target, _, _) in goals.items():
+        rates = [(s * n, min(3.0, math.exp(min(slopes[key] * s, 2.0)))) for _, source, s, n in cells if source == key[1]]
+        assert sum(a * x for a, x in rates) == pytest.approx(target, rel=1e-6, abs=1e-5)
+
+
+def test_unreachable_target_raises(spark):
+    cells = spark.createDataFrame([(False, "a", 10, 5)], "_none boolean, _source string, size long, n long")
+    with pytest.raises(ArithmeticError, match="'a'"):
+        mixing.balance(cells, {(False, "a"): (160.0, 100, 10.0)})
+
+
 # Multiset fingerprints
 
 

@@ -8,8 +8,9 @@ all pages come the nodes' importances, both entropies to the base of the number
 - of content: one less the mean, over all texts below the node, of the entropy of a text's pages; 0 if every page
   shows the same texts, 1 if no two pages share any.
 
-A branch goes if its composite importance is low and enough pages have it. Branches that hold a good part of a site's
-article text never go, however often pages repeat each other. Known furniture (navigation, forms, scripts, advert and
+A page counts once in them, however many copies of it a host has. A branch goes if its composite importance is low and
+enough pages have it. Branches that hold a good part of a site's article text never go, nor do those that hold most of
+the different texts that its pages would give without the tree. Known furniture (navigation, forms, scripts, advert and
 comment containers by element or class name) goes on any site, also where a host has too few pages to compare. What
 is left of ``article`` elements is the text; without any, of ``main``; without that, of the body.
 
@@ -54,12 +55,13 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(frozen=True)
 class Pruning:
-    """``least`` importance outside of article text and ``inside`` it; pages that must have a node to judge it."""
+    """``least`` importance outside of article text and ``inside`` it; ``pages`` that must have a node to judge it; shares of article text and of all that protect."""
 
     least: float = 0.35
     inside: float = 0.10
     pages: int = 8
     share: float = 0.10
+    returned: float = 0.50
     mixing: float = 0.9
 
 
@@ -178,24 +180,26 @@ def _prefixes(path: str) -> list[int]:
     return [key(">".join(parts[:i])) for i in range(2, len(parts) + 1)]
 
 
-def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for pages in batches:
         out = []
         for page in pages:
-            rows, seen = [], set()
-            for path, kind, text in blocks(page):
+            rows, seen, all_ = [], set(), list(blocks(page))
+            best = _chosen({kind for _, kind, text in all_ if text is not None})
+            for path, kind, text in all_:
                 k = key(path)
                 if text is None:
-                    rows.append({"path": k, "feature": key(kind), "chars": -1, "inside": False, "first": False, "above": []})
+                    rows.append({"path": k, "feature": key(kind), "chars": -1, "inside": False, "returned": False, "first": False, "above": []})
                     continue
                 first = k not in seen
                 seen.add(k)
-                rows.append({"path": k, "feature": key(text), "chars": len(text), "inside": kind == "article", "first": first, "above": _prefixes(path) if first else []})
-            out.append(rows)
-        yield pd.Series(out)
+                rows.append({"path": k, "feature": key(text), "chars": len(text), "inside": kind == "article", "returned": kind == best, "first": first, "above": _prefixes(path) if first else []})
+            same = xxhash.xxh3_128_digest(b"".join(x["path"].to_bytes(8, "little", signed=True) + x["feature"].to_bytes(8, "little", signed=True) for x in rows))
+            out.append((same, rows))
+        yield pd.DataFrame(out, columns=["same", "rows"])
 
 
-FEATURES = "array<struct<path:long,feature:long,chars:int,inside:boolean,first:boolean,above:array<long>>>"
+FEATURES = "same binary, rows array<struct<path:long,feature:long,chars:int,inside:boolean,returned:boolean,first:boolean,above:array<long>>>"
 
 
 def _host(url: str):
@@ -203,41 +207,51 @@ def _host(url: str):
 
 
 def style_tree(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
-    """A row for each host and node: host, path, pages, presentation, content, share (of the article text), inside."""
+    """A row for each host and node: host, path, pages, presentation, content, share (of the article text), inside,
+    returned (share of the different texts that pages would give without the tree). Pages are different ones."""
     features = F.pandas_udf(_features, FEATURES)
-    rows = in_small_batches(pages).select(_host(url).alias("host"), F.explode(features(F.col(page))).alias("x")).select("host", "x.*")
+    read = in_small_batches(pages).select(_host(url).alias("host"), features(F.col(page)).alias("x")).select("host", "x.*")
+    # copies of a page have the same rows, and meet in partial results before they are exchanged
+    once = read.groupBy("host", "same").agg(F.first("rows").alias("rows"))
+    rows = once.select("host", F.explode("rows").alias("x")).select("host", "x.*")
     # rows of one text and node meet in partial sums before they are exchanged
     counted = rows.groupBy("host", "path", "feature", (F.col("chars") < 0).alias("layout")).agg(
         F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("pages"), F.sum("chars").alias("chars"),
-        F.max("inside").alias("inside"), F.max("above").alias("above"),
+        F.max("inside").alias("inside"), F.max("above").alias("above"), F.max(F.when(F.col("returned"), F.col("chars")).otherwise(0)).alias("returned"),
     )
     surprise = F.col("n") * F.log(F.col("n").cast("double"))
     nodes = counted.groupBy("host", "path", "layout").agg(
         F.sum("n").alias("n"), F.sum(surprise).alias("s"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"),
-        F.max("inside").alias("inside"), F.max("above").alias("above"),
+        F.max("inside").alias("inside"), F.max("above").alias("above"), F.sum("returned").alias("returned"),
     )
     nodes = stable(nodes)
     laid = nodes.filter("layout").select("host", "path", (F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)).alias("presentation"))
     text = nodes.filter(~F.col("layout")).withColumn("node", F.explode("above"))
     inside_chars = F.sum(F.when(F.col("inside"), F.col("chars")).otherwise(0))
     below = text.groupBy("host", F.col("node").alias("path")).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("pages").alias("pages"), inside_chars.alias("chars"), F.min("inside").alias("inside")
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("pages").alias("pages"), inside_chars.alias("chars"), F.min("inside").alias("inside"), F.sum("returned").alias("returned")
     )
-    whole = nodes.filter(~F.col("layout")).groupBy("host").agg(inside_chars.alias("all_chars"))
+    whole = nodes.filter(~F.col("layout")).groupBy("host").agg(inside_chars.alias("all_chars"), F.sum("returned").alias("all_returned"))
     content = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / F.col("n") / F.log(F.col("pages").cast("double")))).otherwise(1.0)
     share = F.when(F.col("all_chars") > 0, F.col("chars") / F.col("all_chars")).otherwise(0.0)
+    returned = F.when(F.col("all_returned") > 0, F.col("returned") / F.col("all_returned")).otherwise(0.0)
     joined = below.join(laid, ["host", "path"], "left").join(whole, "host")
-    return joined.select("host", "path", "pages", F.coalesce("presentation", F.lit(0.0)).alias("presentation"), content.alias("content"), share.alias("share"), "inside")
+    return joined.select("host", "path", "pages", F.coalesce("presentation", F.lit(0.0)).alias("presentation"), content.alias("content"), share.alias("share"), "inside", returned.alias("returned"))
 
 
 def unimportant(tree: DataFrame, p: Pruning = Pruning()) -> DataFrame:
     """(host, gone): the paths of branches that go."""
     importance = F.when(F.col("presentation") > 0, (1 - p.mixing) * F.col("presentation") + p.mixing * F.col("content")).otherwise(F.col("content"))
     least = F.when(F.col("inside"), p.inside).otherwise(p.least)
-    low = tree.filter((F.col("pages") >= p.pages) & (F.col("share") < p.share) & (importance < least))
+    spared = (F.col("share") >= p.share) | (F.col("returned") >= p.returned)
+    low = tree.filter((F.col("pages") >= p.pages) & ~spared & (importance < least))
     return low.groupBy("host").agg(F.collect_set("path").alias("gone"))
 
 
+def _chosen(kinds: set[str]) -> str:
+    return next((k for k in ("article", "main") if k in kinds), "")
+
+
 def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
     held: dict[str, list[str]] = {"article": [], "main": [], "": []}
     lost: dict[str, bool] = {}
@@ -250,7 +264,7 @@ def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
             if lost[path]:
                 continue
         held[kind].append(text)
-    return "\n\n".join(held["article"] or held["main"] or held[""])
+    return "\n\n".join(held[_chosen({k for k, x in held.items() if x})])
 
 
 #: The table of branches is broadcast up to this many; beyond, it is joined by host, of which AQE splits large ones.

@@ -102,3 +102,22 @@ def test_odd_pages(spark):
     whole = "\n\n".join(f"paragraph {i} & more" for i in range(20_000))
     assert got == [(0, "y", 1), (1, "", 0), (2, "", 0), (3, "x", 1), (3, "x", 1), (4, whole, len(whole))]
     assert sorted(out.columns) == sorted(df.columns) and site_style.extract(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, "http://one.org/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in site_style.extract(df).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("tag", ["main", "div"])
+@pytest.mark.parametrize("change", [False, True])
+def test_copies_of_a_page_do_not_remove_it(spark, tag, change):
+    """96 copies, or near copies in their last paragraph, and 4 or 12 other pages."""
+    page = lambda t, i: f"<body><{tag}><h1>Title {t}</h1><p>Text of page {t}.</p><p>And a much longer last paragraph of it {i}.</p></{tag}></body>"
+    want = lambda t, i: f"Title {t}\n\nText of page {t}.\n\nAnd a much longer last paragraph of it {i}."
+    all_ = [(0, i * change) for i in range(96)] + [(t, t) for t in range(1, 5 if change else 13)]
+    got = extracted(spark, [page(*x) for x in all_])
+    if not change:
+        assert got == [want(*x) for x in all_]
+    else:
+        assert all(g.endswith(want(*x).split("\n\n")[2]) for g, x in zip(got, all_, strict=True))

@@ -9,8 +9,8 @@ all pages come the nodes' importances, both entropies to the base of the number
   shows the same texts, 1 if no two pages share any.
 
 A page counts once in them, however many copies of it a host has. A branch goes if its composite importance is low and
-enough pages have it. Branches that hold a good part of a site's article text never go, nor do those that hold most of
-the different texts that its pages would give without the tree. Known furniture (navigation, forms, scripts, advert and
+enough pages have it. What is inside the chosen ``article`` never goes by repetition; nor do branches that hold a good
+part of a site's article text, or most of the different texts that its pages would give without the tree. Known furniture (navigation, forms, scripts, advert and
 comment containers by element or class name) goes on any site, also where a host has too few pages to compare. What
 is left of ``article`` elements is the text; without any, of ``main``; without that, of the body.
 
@@ -55,10 +55,9 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(frozen=True)
 class Pruning:
-    """``least`` importance outside of article text and ``inside`` it; ``pages`` that must have a node to judge it; shares of article text and of all that protect."""
+    """``least`` importance; ``pages`` that must have a node to judge it; shares of article text and of all that protect."""
 
     least: float = 0.35
-    inside: float = 0.10
     pages: int = 8
     share: float = 0.10
     returned: float = 0.50
@@ -242,9 +241,8 @@ def style_tree(pages: DataFrame, page: str = "html", url: str = "url") -> DataFr
 def unimportant(tree: DataFrame, p: Pruning = Pruning()) -> DataFrame:
     """(host, gone): the paths of branches that go."""
     importance = F.when(F.col("presentation") > 0, (1 - p.mixing) * F.col("presentation") + p.mixing * F.col("content")).otherwise(F.col("content"))
-    least = F.when(F.col("inside"), p.inside).otherwise(p.least)
-    spared = (F.col("share") >= p.share) | (F.col("returned") >= p.returned)
-    low = tree.filter((F.col("pages") >= p.pages) & ~spared & (importance < least))
+    spared = F.col("inside") | (F.col("share") >= p.share) | (F.col("returned") >= p.returned)
+    low = tree.filter((F.col("pages") >= p.pages) & ~spared & (importance < p.least))
     return low.groupBy("host").agg(F.collect_set("path").alias("gone"))
 
 
@@ -258,7 +256,7 @@ def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
     for path, kind, text in blocks(page):
         if text is None:
             continue
-        if gone:
+        if gone and kind != "article":
             if path not in lost:
                 lost[path] = not gone.isdisjoint(_prefixes(path))
             if lost[path]:

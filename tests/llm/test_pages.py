@@ -121,3 +121,10 @@ def test_copies_of_a_page_do_not_remove_it(spark, tag, change):
         assert got == [want(*x) for x in all_]
     else:
         assert all(g.endswith(want(*x).split("\n\n")[2]) for g, x in zip(got, all_, strict=True))
+
+
+def test_titles_of_near_copies_stay(spark):
+    """Their last paragraphs differ, so that they are different pages."""
+    page = lambda t, i: f"<body><article><h1>Title {t}</h1><ul><li>Entry of {t}</li></ul><p>{'And a long last paragraph. ' * 9}{i}</p></article></body>"
+    got = extracted(spark, [page(0, i) for i in range(196)] + [page(t, t) for t in range(1, 5)])
+    assert [g.split("\n\n")[:2] for g in got] == [[f"Title {t}", f"Entry of {t}"] for t in [0] * 196 + [1, 2, 3, 4]]

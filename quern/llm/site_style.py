@@ -11,7 +11,8 @@ all pages come the nodes' importances, both entropies to the base of the number
 A page counts once in them, however many copies of it a host has. A branch goes if its composite importance is low and
 enough pages have it. What is inside the chosen ``article`` never goes by repetition; nor do branches that hold a good
 part of a site's article text, or most of the different texts that its pages would give without the tree. Known furniture (navigation, forms, scripts, advert and
-comment containers by element or class name) goes on any site, also where a host has too few pages to compare. What
+comment containers by element or class name) goes on any site, also where a host has too few pages to compare; but on
+a page that would have no article text then, elements named so stay if they hold an article or most of the page's text. What
 is left of ``article`` elements is the text; without any, of ``main``; without that, of the body.
 
 Null and empty html give the empty text. A null url is a host of its own. Markup may be broken: unclosed elements end
@@ -40,14 +41,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 FURNITURE = frozenset("head nav footer aside form button select dialog menu script style noscript template iframe object embed svg canvas audio video map textarea input".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
-# Words in classes, ids and roles of furniture.
+# Classes, ids and roles of furniture, and words that may stand beside them in one.
 NOISE = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
+    r"(?:ads?|adverts?|advert[a-z]*|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
     r"side-?bar|nav(?:bar|igation)?|menu|bread-?crumbs?|footer|masthead|page-?header|site-?header|header|toolbar|pagination|pager|comments?|"
     r"comment-?list|respond|disqus|replies|reader-?comments|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
-    r"search|widget|skip-?link|contentinfo|complementary|alert|disclaimer|tags)(?:$|[\s_\-])",
+    r"search|widget|skip-?link|contentinfo|complementary|alert|disclaimer|tags)",
     re.I,
 )
+AROUND = frozenset("area bar block bottom box button buttons container desktop fixed form global holder icons inner item items left link links list mobile outer posts primary right row secondary site slot sticky text top unit widgets wrap wrapper".split())
 TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -69,22 +71,39 @@ def key(path: str) -> int:
     return n - (n >> 63 << 64)
 
 
+def _noisy(names: str, in_article: bool) -> bool:
+    """Whether a whole name is furniture's; a header in an article has its title."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[_\-]+", name) if x]
+        words = [bool(NOISE.fullmatch(x)) for x in parts]
+        if NOISE.fullmatch(name) or any(words) and all(w or x.lower() in AROUND for w, x in zip(words, parts, strict=True)):
+            if not (in_article and "header" in name.lower()):
+                return True
+    return False
+
+
 class _Node:
-    __slots__ = ("tag", "path", "noise", "kind", "children", "block")
+    """``hard``: furniture by element or hidden; ``named``: where the innermost element around that is so by name starts, or -1."""
+
+    __slots__ = ("tag", "path", "hard", "named", "kind", "children", "block")
 
-    def __init__(self, tag: str, path: str, noise: bool, kind: str, block: bool) -> None:
-        self.tag, self.path, self.noise, self.kind, self.block = tag, path, noise, kind, block
+    def __init__(self, tag: str, path: str, hard: bool, named: int, kind: str, block: bool) -> None:
+        self.tag, self.path, self.hard, self.named, self.kind, self.block = tag, path, hard, named, kind, block
         self.children: list[str] = []
 
+    @property
+    def noise(self) -> bool:
+        return self.hard or self.named >= 0
 
-def _open(tag: str, attributes: str, parent: _Node) -> _Node:
-    names, noise = "", parent.noise or tag in FURNITURE
-    if attributes and not parent.noise:
+
+def _open(tag: str, attributes: str, parent: _Node, at: int, spared: frozenset[int]) -> _Node:
+    names, noise, named = "", parent.hard or tag in FURNITURE, False
+    if attributes and not parent.hard:
         for a, *values in ATTRIBUTE.findall(attributes):
             value, a = next(filter(None, values), ""), a.lower()
             if a in ("class", "id"):
                 names += "." + " ".join(sorted(re.sub(r"\d+", "0", value).split()))
-            noise = noise or a in ("class", "id", "role") and bool(NOISE.search(value)) and tag not in ("html", "body", "main")
+            named = named or a in ("class", "id", "role") and tag not in ("html", "body", "main", "article") and _noisy(value, parent.kind == "article")
             noise = noise or a == "hidden" or a == "aria-hidden" and value.lower() == "true" or a == "style" and bool(HIDDEN.search(value))
     kind = parent.kind
     if tag == "article":
@@ -95,13 +114,34 @@ def _open(tag: str, attributes: str, parent: _Node) -> _Node:
     elif tag == "header" and parent.kind != "article":
         noise = True
     block = tag not in INLINE
-    return _Node(tag, f"{parent.path}>{tag}{names}" if block else parent.path, noise, kind, block)
+    return _Node(tag, f"{parent.path}>{tag}{names}" if block else parent.path, noise, at if named and at not in spared else parent.named, kind, block)
 
 
 def blocks(page: str | None) -> Iterator[tuple[str, str, str] | tuple[str, str, None]]:
     """(path, kind, text) of each block of text, in page order, and (path, children, None) of each element that ends."""
+    found: dict[int, list] = {}
+    rows = list(_read(page, frozenset(), found))
+    spared = frozenset()
+    if found and not any(kind == "article" for _, kind, text in rows if text is not None):
+        whole = sum(len(text) for _, _, text in rows if text is not None) + sum(chars for chars, _, _ in found.values())
+        for at in sorted(found, reverse=True):  # elements after those around them
+            chars, holds, around = found[at]
+            if around >= 0:
+                found[around][0] += chars
+                found[around][1] |= holds
+        holding = frozenset(at for at, x in found.items() if x[1] and x[0])
+        spared = holding or frozenset(at for at, x in found.items() if 2 * x[0] > whole)
+    yield from _read(page, spared, {}) if spared else rows
+
+
+def _read(page: str | None, spared: frozenset[int], found: dict[int, list]) -> Iterator[tuple[str, str, str] | tuple[str, str, None]]:
+    """As blocks. found: of each element that goes by name, its characters, whether it holds an article, the one around."""
     source = page or ""
-    stack, buffer, at = [_Node("", "", False, "", True)], [], 0
+    stack, buffer, at = [_Node("", "", False, -1, "", True)], [], 0
+
+    def pass_over(text: str) -> None:
+        if not stack[-1].hard:
+            found[stack[-1].named][0] += len(" ".join(text.split()))
 
     def flush() -> Iterator[tuple[str, str, str]]:
         text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
@@ -116,11 +156,10 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, str] | tuple[str, str,
     while at < len(source):
         m = TAG.search(source, at)
         if not m:
-            if not stack[-1].noise:
-                buffer.append(source[at:])
+            (pass_over if stack[-1].noise else buffer.append)(source[at:])
             break
-        if m.start() > at and not stack[-1].noise:
-            buffer.append(source[at : m.start()])
+        if m.start() > at:
+            (pass_over if stack[-1].noise else buffer.append)(source[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag or m[5] and not m[0].endswith(">"):  # a comment, a declaration or the unfinished end
@@ -162,7 +201,11 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, str] | tuple[str, str,
             run = stack[-1].children
             if not run or run[-1] != tag + " ":
                 run.append(tag + " ")
-        node = _open(tag, attributes, stack[-1])
+        node = _open(tag, attributes, stack[-1], m.start(), spared)
+        if node.named == m.start():
+            found[node.named] = [0, False, stack[-1].named]
+        if node.named >= 0 and tag in ("article", "main") and not node.hard:
+            found[node.named][1] = True
         if node.noise and not stack[-1].noise and not node.block:
             buffer.append(" ")
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path", "use"):

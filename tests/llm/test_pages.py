@@ -128,3 +128,20 @@ def test_titles_of_near_copies_stay(spark):
     page = lambda t, i: f"<body><article><h1>Title {t}</h1><ul><li>Entry of {t}</li></ul><p>{'And a long last paragraph. ' * 9}{i}</p></article></body>"
     got = extracted(spark, [page(0, i) for i in range(196)] + [page(t, t) for t in range(1, 5)])
     assert [g.split("\n\n")[:2] for g in got] == [[f"Title {t}", f"Entry of {t}"] for t in [0] * 196 + [1, 2, 3, 4]]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='layout has-sidebar'><article><h1>t</h1><p>a</p></article></div>", "t\n\na"),
+        ("<div class='no-sidebar'><p>a</p></div>", "a"),
+        ("<article class='post category-social'><p>a</p></article>", "a"),
+        ("<article class='search'><p>a</p></article>", "a"),
+        ("<div class='search'><div id=widget><article><p>a</p></article></div></div>", "a"),
+        ("<article><div class='entry-header'><h1>t</h1></div><div class='header'><h2>u</h2></div><p>a</p></article>", "t\n\nu\n\na"),
+        ("<body><div class='section-header'><h1>t</h1></div><div class='widget'><p>most of the text</p></div><div class='share'>x</div></body>", "t\n\nmost of the text"),
+        ("<article><p>a</p><div class='cookie-banner'>b</div><div class='related-posts'>c</div></article><div class='related'><article>d</article></div>", "a"),
+    ],
+)
+def test_names_of_furniture(page, text):
+    assert site_style.main_text(page) == text

@@ -13,7 +13,7 @@ enough pages have it. What is inside the chosen ``article`` never goes by repeti
 part of a site's article text, or most of the different texts that its pages would give without the tree. Known furniture (navigation, forms, scripts, advert and
 comment containers by element or class name) goes on any site, also where a host has too few pages to compare; but on
 a page that would have no article text then, elements named so stay if they hold an article or most of the page's text. What
-is left of ``article`` elements is the text; without any, of ``main``; without that, of the body.
+is left of ``article`` elements is the text; if ``main`` has more beside them, both; without any, the body's.
 
 Null and empty html give the empty text. A null url is a host of its own. Markup may be broken: unclosed elements end
 with their parents or with the next element that cannot be inside, stray end tags are passed over, an unfinished tag at
@@ -227,7 +227,7 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         out = []
         for page in pages:
             rows, seen, all_ = [], set(), list(blocks(page))
-            best = _chosen({kind for _, kind, text in all_ if text is not None})
+            chosen = _chosen([(kind, text) for _, kind, text in all_ if text is not None])
             for path, kind, text in all_:
                 k = key(path)
                 if text is None:
@@ -235,7 +235,7 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                     continue
                 first = k not in seen
                 seen.add(k)
-                rows.append({"path": k, "feature": key(text), "chars": len(text), "inside": kind == "article", "returned": kind == best, "first": first, "above": _prefixes(path) if first else []})
+                rows.append({"path": k, "feature": key(text), "chars": len(text), "inside": kind == "article", "returned": kind in chosen, "first": first, "above": _prefixes(path) if first else []})
             same = xxhash.xxh3_128_digest(b"".join(x["path"].to_bytes(8, "little", signed=True) + x["feature"].to_bytes(8, "little", signed=True) for x in rows))
             out.append((same, rows))
         yield pd.DataFrame(out, columns=["same", "rows"])
@@ -289,12 +289,18 @@ def unimportant(tree: DataFrame, p: Pruning = Pruning()) -> DataFrame:
     return low.groupBy("host").agg(F.collect_set("path").alias("gone"))
 
 
-def _chosen(kinds: set[str]) -> str:
-    return next((k for k in ("article", "main") if k in kinds), "")
+def _chosen(texts: list[tuple[str, str]]) -> frozenset[str]:
+    """The kinds of blocks that make the text, by its amount; an article that is less than what main has beside it is a teaser."""
+    chars = {"article": 0, "main": 0, "": 0}
+    for kind, text in texts:
+        chars[kind] += len(text)
+    if chars["main"] > chars["article"]:
+        return frozenset(("article", "main"))
+    return frozenset(("article" if chars["article"] else "",))
 
 
 def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
-    held: dict[str, list[str]] = {"article": [], "main": [], "": []}
+    texts: list[tuple[str, str]] = []
     lost: dict[str, bool] = {}
     for path, kind, text in blocks(page):
         if text is None:
@@ -304,8 +310,9 @@ def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
                 lost[path] = not gone.isdisjoint(_prefixes(path))
             if lost[path]:
                 continue
-        held[kind].append(text)
-    return "\n\n".join(held[_chosen({k for k, x in held.items() if x})])
+        texts.append((kind, text))
+    chosen = _chosen(texts)
+    return "\n\n".join(text for kind, text in texts if kind in chosen)
 
 
 #: The table of branches is broadcast up to this many; beyond, it is joined by host, of which AQE splits large ones.

@@ -145,3 +145,9 @@ def test_titles_of_near_copies_stay(spark):
 )
 def test_names_of_furniture(page, text):
     assert site_style.main_text(page) == text
+
+
+def test_a_teaser_does_not_replace_the_story():
+    page = "<main><h1>t</h1><p>The story of this page</p><article><p>a teaser</p></article><p>Its end</p></main><p>out</p>"
+    assert site_style.main_text(page) == "t\n\nThe story of this page\n\na teaser\n\nIts end"
+    assert site_style.main_text("<main><h1>t</h1><article><p>story</p></article></main>") == "story"

@@ -3,7 +3,7 @@
 A fingerprint is the sum of wide vectors, one for each paragraph of the text (its lines), modulo powers of two, so that
 the order of paragraphs does not matter and a paragraph is inserted or deleted by adding or subtracting its vector.
 The vector of a paragraph has two parts. The first, ``EQUAL`` lanes modulo 2**64, is a keyless hash of the whole
-paragraph and tells different multisets apart. The second, ``NEAR`` lanes modulo 2**16, is itself the sum of
+paragraph and tells different multisets apart. The second, ``NEAR`` lanes modulo 2**32, is itself the sum of
 vectors of +1 and -1 hashed from the paragraph's phrases; the cosine of two such parts estimates how alike the texts
 are (0 to 1, standard error about 1 / sqrt(NEAR)). A phrase ends with punctuation; a long phrase is cut after words
 whose hash says so, so that an insertion moves no cut but near it.
@@ -48,14 +48,14 @@ def _phrases(paragraph: str) -> Iterator[str]:
 
 
 def near_part(paragraphs: Iterable[str]) -> np.ndarray:
-    """Sum of the sign vectors of all phrases, modulo 2**16."""
+    """Sum of the sign vectors of all phrases, modulo 2**32: a text of 2 GB has too few phrases to wrap."""
     digests = b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for x in paragraphs for p in _phrases(x))
     n = len(digests) // 16
     ones = np.zeros(NEAR, np.int64)
     for i in range(0, n, 65536):
         part = np.frombuffer(digests, np.uint8)[i * 16 : (i + 65536) * 16].reshape(-1, 16)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return (2 * ones - n).astype(np.uint16)
+    return (2 * ones - n).astype(np.uint32)
 
 
 def equal_part(paragraphs: Iterable[str]) -> np.ndarray:
@@ -90,13 +90,13 @@ class Fingerprint:
         return hash(self.equal.tobytes())
 
     def hex(self) -> str:
-        return (self.equal.astype("<u8").tobytes() + self.near.astype("<u2").tobytes()).hex()
+        return (self.equal.astype("<u8").tobytes() + self.near.astype("<u4").tobytes()).hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints, else the cosine of the near parts, not below 0 and not quite 1."""
         if self == other:
             return 1.0
-        a, b = self.near.view(np.int16).astype(float), other.near.view(np.int16).astype(float)
+        a, b = self.near.view(np.int32).astype(float), other.near.view(np.int32).astype(float)
         size = float(a @ a) * float(b @ b)
         return min(max(float(a @ b) / size**0.5, 0.0), 0.9999) if size > 0 else 0.0
 

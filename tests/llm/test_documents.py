@@ -291,6 +291,11 @@ def test_unreachable_target_raises(spark):
 # Multiset fingerprints
 
 
+def test_many_equal_lines_do_not_wrap():
+    whole, half = (multiset.Fingerprint.of("the same line\n" * n + "".join(f"other words {i}\n" for i in range(40_000 - n))) for n in (40_000, 20_000))
+    assert 0.9 < whole.likeness(half) < 1
+
+
 def test_group_of_fingerprints():
     of = multiset.Fingerprint.of
     assert of("a\nb\nc") == of("c\na\nb") and of("a\nb") != of("a\nb\nb") and of(None) == of("")

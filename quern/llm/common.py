@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of other characters than these six.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows that a function in Python turns into objects at a time; Spark bounds a batch itself by bytes.
+ROWS_AT_ONCE = 128
 #: Rows of texts in one batch for Python.
 BATCH_ROWS = 256
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -52,14 +55,33 @@ def uniform(seed: int, *columns: Column) -> Column:
 def stable(df: DataFrame) -> DataFrame:
     """The rows, kept as files in the folder of spark.checkpoint.dir, so that a lost executor loses none of them.
 
-    A session without that setting (as in tests) gets a folder of its own.
+    Only a session in one process (as in tests) may go without that setting; it gets a folder of its own.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()
 
 
+def values(batch: pa.Array, rows: int = ROWS_AT_ONCE) -> Iterator[list]:
+    """The batch as lists of Python values, few rows at a time, so that a worker never holds many whole texts."""
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows).to_pylist()
+
+
+def structs(rows: Sequence[tuple], fields: Sequence[tuple[str, pa.DataType]]) -> pa.StructArray:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], fields: Sequence[tuple[str, pa.DataType]]) -> DataFrame:
+    """A table of the driver's rows as a local relation: no Python worker makes it, and Spark knows its size for joins."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]))
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same rows; texts now go to Python in batches of few rows, so that a worker never holds many whole texts.
 
@@ -86,5 +108,19 @@ def per_worker(key: object, make: Callable[[], object]) -> object:
     return _HELD[1]
 
 
+def own_name(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def with_fields(df: DataFrame, struct: Column, names: Iterable[str]) -> DataFrame:
+    """The table with the fields of a struct, computed once, in place of its columns of these names."""
+    held = own_name(df, "_held")
+    return df.withColumn(held, struct).withColumns({n: F.col(held)[n] for n in names}).drop(held)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])

@@ -43,7 +43,7 @@ def site(n):
 def slow_tree(pages):
     texts, layouts, shown, inside = defaultdict(list), defaultdict(list), defaultdict(set), {}
     for i, (host, page) in enumerate(pages):
-        for path, kind, text in site_style.blocks(page):
+        for path, kind, text, _ in site_style.blocks(page):
             if text is None:
                 layouts[host, path].append(kind)
             else:
@@ -101,7 +101,7 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id or 0), r.text, r.n_chars) for r in out.collect())
     whole = "\n\n".join(f"paragraph {i} & more" for i in range(20_000))
     assert got == [(0, "y", 1), (1, "", 0), (2, "", 0), (3, "x", 1), (3, "x", 1), (4, whole, len(whole))]
-    assert sorted(out.columns) == sorted(df.columns) and site_style.extract(df.limit(0)).count() == 0
+    assert sorted(out.columns) == sorted([*df.columns, "decided_by"]) and site_style.extract(df.limit(0)).count() == 0
 
 
 def extracted(spark, pages):

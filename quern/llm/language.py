@@ -12,27 +12,42 @@ Learning takes at most ``Training.most_rows`` rows for each language, those with
 probabilities, and for each language the cross-entropy above which a text counts as rejected (no language fits).
 
 A text that is null or has no letter is ``und`` with score 0. Rows whose language is null teach nothing. If nothing
-can be learned, every text is ``und``. Ties go to the language that is first by code point.
+can be learned, every text is ``und``. Ties go to the language that is first by code point. Texts are read whole,
+however long; repeated rows get the same result, an empty table gives no rows. Columns with the names of results are
+replaced, others pass through.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.common import in_small_batches, per_worker
+from quern.llm.common import per_worker, small_table, structs, values, with_fields
 
 ORDER, BORDER = 5, 0
-WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters (Unicode's category L), lower-cased; learning and scoring both take them from here."""
+    found = _RUN.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also takes numbers that are no decimal digits, as superscripts, fractions and Roman numerals
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(0, 2**63, ORDER, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -133,6 +148,13 @@ class Model:
     def size(self) -> int:
         return sum(a.nbytes for part in (self.keys, self.logp, self.back) for a in part)
 
+    def name(self) -> str:
+        """Differs between models; by it a worker knows the one it holds."""
+        h = hashlib.blake2b("\0".join(self.langs).encode(), digest_size=16)
+        for a in (*self.keys, *self.logp, *self.back, self.most, np.array(self.temperature)):
+            h.update(np.ascontiguousarray(a).tobytes())
+        return h.hexdigest()
+
 
 def _language(words: list[str], counts: np.ndarray) -> list[dict]:
     """Kneser-Ney tables of one language: for each order the hashes, probabilities and, by context, back-off weights."""
@@ -249,7 +271,7 @@ class Scorer:
         out = np.full((len(texts), len(self.model.langs)), np.nan)
         cut, chars = [], 0
         for i, t in enumerate(texts):
-            cut.append((i, WORD.findall((t or "").lower())))
+            cut.append((i, words_of(t)))
             chars += len(t or "")
             if chars > 300_000 or i == len(texts) - 1:
                 self._learn([w for _, w in cut])
@@ -274,6 +296,12 @@ class Scorer:
         return out
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([words_of(t) for part in values(batch) for t in part], pa.list_(pa.string()))
+
+
 def fit(docs: DataFrame, p: Training = Training(), text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model | None:
     """Learns from the rows given; the driver gets the words of ``most_rows`` rows for each language, counted."""
     spark = docs.sparkSession
@@ -282,15 +310,13 @@ def fit(docs: DataFrame, p: Training = Training(), text: str = "text", lang: str
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    share = spark.createDataFrame([(k, min(1.0, 1.2 * p.most_rows / n)) for k, n in sizes.items()], "l string, share double")
+    share = small_table(spark, [(k, min(1.0, 1.2 * p.most_rows / n)) for k, n in sizes.items()], (("l", pa.string()), ("share", pa.float64())))
     # a row for each language: broadcast while they are few, so that no language's rows gather in one task
     near = rows.join(F.broadcast(share) if len(sizes) <= MOST_BROADCAST else share, "l").filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    chosen = near.withColumn("r", rank).filter(F.col("r") <= p.most_rows).select(F.col("i").alias(id), "l", (F.col("r") % p.fold == 0).alias("test"))
-    sample = docs.filter(F.col(lang).isNotNull()).select(id, F.col(text).alias("t")).join(F.broadcast(chosen), id)  # most_rows a language
-    low = F.lower(F.coalesce("t", F.lit("")))
-    word = F.explode(F.regexp_extract_all(low, F.lit(r"(\p{L}+)"), F.lit(1)))
-    learn = sample.filter("not test").select("l", word.alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    chosen = near.withColumn("r", rank).filter(F.col("r") <= p.most_rows).select("i", "l", (F.col("r") % p.fold == 0).alias("test"))
+    sample = docs.filter(F.col(lang).isNotNull()).select(F.col(id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")  # most_rows a language
+    learn = sample.filter("not test").select("l", F.explode(_words("t")).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
     counted: dict[str, Counter] = {}
     for r in learn.toLocalIterator():
         counted.setdefault(r["l"], Counter())[r["w"]] = r["n"]
@@ -306,13 +332,13 @@ def _calibrate(model: Model, held_back: DataFrame, p: Training) -> None:
     model.most = np.full(n, np.inf)
     sent = held_back.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def entropies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def entropies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = Scorer(sent.value)
-        for t in batches:
-            yield pd.Series(list(s.entropies(list(t))))
+        for batch in batches:
+            yield pa.array([row for part in values(batch) for row in s.entropies(part).tolist()], pa.list_(pa.float64()))
 
-    got = in_small_batches(held_back).select("l", entropies(F.col("t")).alias("h")).collect()
+    got = held_back.select("l", entropies(F.col("t")).alias("h")).collect()
     truth = np.array([model.langs.index(r["l"]) if r["l"] in model.langs else -1 for r in got], int)
     h = np.array([r["h"] for r in got], float).reshape(-1, n)
     use = (truth >= 0) & ~np.isnan(h).any(axis=1)
@@ -331,16 +357,18 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", reject: b
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the bounded sample
-    name = f"{np.random.default_rng().integers(1 << 62)}"
+    name = model.name()
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = per_worker(("language", name), lambda: Scorer(sent.value))
-        for t in batches:
-            rows = s.predict(list(t))
+        for batch in batches:
+            rows = [row for part in values(batch) for row in s.predict(part)]
             if reject:
                 rows = [(UNKNOWN if r else a, b, c, r) for a, b, c, r in rows]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "rejected"])
+            yield structs(rows, FIELDS)
+
+    return with_fields(docs, predict(F.col(text)), [n for n, _ in FIELDS])
+
 
-    out = in_small_batches(docs).withColumn("_lang", predict(F.col(text)))
-    return out.withColumns({k: F.col("_lang")[k] for k in ("lang_pred", "score", "cross_entropy", "rejected")}).drop("_lang")
+FIELDS = (("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_()))

@@ -21,11 +21,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quern.llm.common import in_small_batches
+from quern.llm.common import values
 from quern.llm.ordered import with_next
 
 EQUAL, NEAR = 8, 128
@@ -107,25 +107,31 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULTS = (
+    ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+)
 
 
-def _pairs(batches: Iterator[pd.DataFrame], id: str) -> Iterator[pd.DataFrame]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row beside its next one; both are fingerprinted once."""
-    names = [x.split()[0] for x in OUT.split(", ")]
+    fields = [("_id", pa.int64()), *RESULTS]
     held, ended = None, None
-    for pdf in batches:
+    for batch in batches:
         out = []
-        for key, text, where, peek in zip(pdf[id], pdf["_text"], pdf["_range"], pdf["_peek"], strict=True):
-            if peek and where == ended:
+        keys, where, peeks = (batch.column(n).to_pylist() for n in ("_id", "_range", "_peek"))
+        texts = (x for part in values(batch.column("_text")) for x in part)
+        for key, text, at, peek in zip(keys, texts, where, peeks, strict=True):
+            if peek and at == ended:
                 continue  # the range has had its next row
             fp = Fingerprint.of(text)
             if held is not None:
                 out.append(_row(*held, text, fp))
-            held = (None if pd.isna(key) else int(key), text, fp)
+            held = (key, text, fp)
             if peek:
-                held, ended = None, where
-        yield pd.DataFrame(out, columns=[id, *names]).astype({id: "Int64"})
+                held, ended = None, at
+        columns = list(zip(*out, strict=True)) or [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
     if held is not None:
         raise RuntimeError("a range without its next row")
 
@@ -138,6 +144,10 @@ def _row(key, text: str, fp: Fingerprint, following: str, other: Fingerprint) ->
 
 
 def compare_edited(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """For every row its fingerprint, that of its edited text and how like it is to that and to the next row's."""
-    rows = with_next(in_small_batches(docs), text, id)
-    return rows.mapInPandas(lambda batches: _pairs(batches, id), f"{id} long, {OUT}")
+    """For every row its fingerprint, that of its edited text and how like it is to that and to the next row's.
+
+    Returns the id and the six results only, whatever other columns there are.
+    """
+    rows = with_next(docs, text, id).drop("_hash")
+    found = rows.mapInArrow(_pairs, "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return found.withColumnRenamed("_id", id)

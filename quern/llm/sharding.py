@@ -9,9 +9,10 @@ happen to be.
 
 Shards' numbers of rows are at most one apart, whatever the texts: equal texts are rows like others and go to chunks
 apart from each other. Blocks and chunks grow in size rather than number beyond ``MOST`` of each, so that the matrix
-stays small. Null texts have no bytes. Rows that repeat another in id and text are told apart only by their place in
-the order, which is the same for all results as the rows are. An empty table gives no rows. Columns with the names of
-results are replaced.
+stays small; a large one is ordered in ranges of hashes of about ``ROWS`` rows, so that no task grows with the table.
+Null texts have no bytes, a text of any length is one row. Rows that repeat another in id and text tie and are told
+apart only by their place in the order, which is the same for all results as the rows are. An empty table gives no
+rows. Columns with the names of results are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.common import stable
+from quern.llm.common import own_name, stable
 
 ROWS, MOST = 4096, 1024
 #: numpy draws from totals below this only.
@@ -98,40 +98,55 @@ def matrix(blocks: list[int], chunks: list[int], seed: int) -> np.ndarray:
     return out
 
 
+def _ranked(rows: DataFrame, group: str, order: Column, parts: int) -> DataFrame:
+    """Adds p: the place of each row in its group by the order (a struct that begins with a hash), from 0.
+
+    A group is cut by ranges of the hash, whose numbers of rows add up, so that no task sorts a whole group.
+    """
+    ranged = rows.withColumns({"o": order}).withColumn("r", (F.shiftrightunsigned(F.col("o.h"), 32) * parts / F.lit(1 << 32)).cast("int"))
+    n = ranged.groupBy(group, "r").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.select(group, "r", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(group, "r").orderBy("o")) - 1
+    return ranged.withColumn("p", place).join(n, [group, "r"]).withColumn("p", F.col("p") + F.col("before")).drop("o", "r", "before")
+
+
 def assign(docs: DataFrame, shards: int = 24, text: str = "text", id: str = "doc_id", seed: int = 23, rows: int = ROWS, most: int = MOST) -> DataFrame:
     """The rows with shard (from 0) and slot (from 0, without gaps in each shard)."""
-    keyed = docs.withColumn("_t", F.xxhash64(F.lit(seed), F.col(text))).withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col(id), "_t"))
+    name = own_name(docs, "_row")
+    # the caller's columns are one struct from here, so that none of their names can clash with those of the plan
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]).alias(name), F.col(id).alias("i"), F.xxhash64(F.lit(seed), F.col(text)).alias("t"))
+    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed + 1), "i", "t"))
     n = docs.count()
     blocks = max(1, min(-(-n // rows), most))
-    keyed = keyed.withColumn("_block", F.pmod("_h", F.lit(blocks)).cast("int"))
-    sizes = {r["_block"]: r["n"] for r in keyed.groupBy("_block").agg(F.count("*").alias("n")).collect()}
+    parts = max(1, -(-n // (blocks * rows)))
+    keyed = keyed.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    sizes = {r["block"]: r["n"] for r in keyed.groupBy("block").agg(F.count("*").alias("n")).collect()}
     chunks = chunk_sizes(n, shards, rows, most)
     cells = matrix([sizes.get(b, 0) for b in range(blocks)], [k for _, _, k in chunks], seed)
     held = docs.sparkSession.sparkContext.broadcast(cells.cumsum(axis=1))  # at most MOST * MOST numbers
 
-    @F.pandas_udf(T.IntegerType())
-    def chunk_of(block: pd.Series, place: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def chunk_of(block: pa.Array, place: pa.Array) -> pa.Array:
         ends, b, p = held.value, block.to_numpy(), place.to_numpy()
         out = np.empty(len(b), np.int32)
         for x in np.unique(b):
             out[b == x] = np.searchsorted(ends[x], p[b == x], side="right")
-        return pd.Series(out)
+        return pa.array(out)
 
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 2), "_h"), id, "_t")
-    cut = keyed.withColumn("_p", F.row_number().over(local) - 1).withColumn("_chunk", chunk_of("_block", "_p")).drop("_p", "_block")
-    again = Window.partitionBy("_chunk").orderBy(F.xxhash64(F.lit(seed + 3), "_h"), id, "_t")
-    placed = cut.withColumn("_p", (F.row_number().over(again) - 1).cast("long"))
+    by = lambda s: F.struct(F.xxhash64(F.lit(s), "h").alias("h"), F.col("i"), F.col("t"))
+    cut = _ranked(keyed, "block", by(seed + 2), parts).withColumn("chunk", chunk_of("block", F.col("p").cast("long"))).drop("p", "block")
+    placed = _ranked(cut, "chunk", by(seed + 3), parts)
     table = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("first")) for s, a, _ in chunks])
-    at = F.element_at(table, F.col("_chunk") + 1)
-    out = placed.withColumn("shard", at["shard"].cast("int")).withColumn("slot", at["first"] + F.col("_p"))
-    return out.drop("_t", "_h", "_chunk", "_p")
+    at = F.element_at(table, F.col("chunk") + 1)
+    return placed.select(f"{name}.*", at["shard"].cast("int").alias("shard"), (at["first"] + F.col("p")).cast("long").alias("slot"))
 
 
 def digest(docs: DataFrame, shards: int = 24, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard); only ids, hashes and sizes are exchanged."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    narrow = docs.select(id, (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(F.col(text)).alias("_key"))
-    out = assign(stable(narrow), shards, "_key", id)
+    narrow = docs.select(id, (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(F.col(text)).alias("key"))
+    out = assign(stable(narrow), shards, "key", id)
     return out.select(id, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

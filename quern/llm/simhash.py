@@ -8,8 +8,11 @@ bits, up to three times, after which at most 2**14 different fingerprints can sh
 are reduced to a spanning forest as they are found, so that a block of n fingerprints gives n - 1 edges at most and
 connects just what its links connect.
 
-Null and empty texts have no words and the fingerprint 0, which is compared like any other. Repeated rows keep their
-fingerprint and component each. A null id never names a component unless all ids of the component are null.
+Null and empty texts have no words and the fingerprint 0, which is compared like any other. Texts are read whole,
+however long. Repeated rows keep their fingerprint and component each, and an id given twice is two rows. A bit that
+exactly half of the shingles set is 0. A null id never names a component unless all ids of the component are null. An
+empty table gives no rows. ``near_duplicates`` returns its three columns only, whatever the others are called;
+``keep_one`` returns the columns that it got.
 """
 
 from __future__ import annotations
@@ -18,14 +21,13 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quern.llm.common import in_small_batches, partitions, stable
+from quern.llm.common import own_name, partitions, stable, values
 from quern.llm.components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -48,10 +50,10 @@ def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield pd.Series(np.fromiter((simhash(x) for x in t), np.uint64, len(t)).view(np.int64))
+@F.arrow_udf(T.LongType())
+def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array(np.fromiter((simhash(x) for part in values(batch) for x in part), np.uint64, len(batch)).view(np.int64))
 
 
 def fingerprint(text: Column) -> Column:
@@ -102,24 +104,20 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[first[tied]], fps[tied]
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (mask, key, fp), of which a block may go on in the next batch, to edges."""
-    held = None
-    for pdf in _with_end(batches):
-        if pdf is not None:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-        elif held is None:
-            return
-        rows = held if pdf is None else pdf
-        mask, key = rows["mask"].to_numpy(), rows["key"].to_numpy()
-        fps = rows["fp"].to_numpy().view(np.uint64)
+    held = np.zeros((3, 0), np.int64)
+    for batch in _with_end(batches):
+        new = np.zeros((3, 0), np.int64) if batch is None else np.stack([batch.column(n).to_numpy() for n in ("mask", "key", "fp")])
+        rows = np.concatenate([held, new], axis=1)
+        if not rows.shape[1]:
+            continue
+        mask, key, fps = rows[0], rows[1], rows[2].view(np.uint64)
         cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
         starts = np.concatenate([[0], cut]).astype(int)
-        ends = np.concatenate([cut, [len(rows)]]).astype(int)
-        if pdf is not None:  # the last block may go on
-            held = rows.iloc[starts[-1] :].reset_index(drop=True)
+        ends = np.concatenate([cut, [len(fps)]]).astype(int)
+        if batch is not None:  # the last block may go on
+            held = rows[:, starts[-1] :]
             starts, ends = starts[:-1], ends[:-1]
         sizes = ends - starts
         two = starts[sizes == 2]
@@ -129,18 +127,16 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, y = _forest(fps[s:e])
             a.append(x)
             b.append(y)
-        yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
 
-def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (mask, key, fp) of the blocks that two fingerprints or more share, with their number."""
-    n = F.count("*").over(Window.partitionBy("mask", "key"))
-    return rows.withColumn("n", n).filter("n > 1")
+#: The table of crowded blocks is broadcast up to this many; beyond, it is joined by block, of which AQE splits large ones.
+MOST_BLOCKS = 100_000
 
 
 def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
@@ -149,41 +145,58 @@ def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     exploded = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for m in now]))
     rows, found = fps.select(exploded.alias("x"), "fp").select("x.mask", "x.key", "fp"), None
     for level in range(LEVELS + 1):
-        shared = stable(_counted(rows))
         last = level == LEVELS
-        use = shared if last else shared.filter(F.col("n") <= large)
+        use, crowded, n = rows, None, 0
+        if not last:  # counted in partial sums, so that a crowded block is never in one task before it is split
+            crowded = stable(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > large).select("mask", "key"))
+            n = crowded.count()
+        if n:
+            hint = F.broadcast(crowded) if n <= MOST_BLOCKS else crowded
+            use = rows.join(hint, ["mask", "key"], "left_anti")
         sorted_rows = use.select("mask", "key", "fp").repartition(partitions(fps.sparkSession), "mask", "key").sortWithinPartitions("mask", "key", "fp")
-        edges = sorted_rows.mapInPandas(_links, "a long, b long").distinct()
+        edges = sorted_rows.mapInArrow(_links, "a long, b long").distinct()
         found = edges if found is None else found.union(edges)
-        rest = shared.filter(F.col("n") > large)
-        if last or rest.isEmpty():
+        if not n:
             return found
         finer = {m: _finer(m) for m in now}
         table = F.create_map(*[F.lit(x) for m, f in finer.items() for x in (_signed(m), F.array(*[F.lit(_signed(y)) for y in f]))])
+        rest = rows.join(hint, ["mask", "key"], "left_semi")
         rows = rest.select(F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "fp")
-        rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        rows = stable(rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
         now = [y for f in finer.values() for y in f]
     return found
 
 
+def _named(rows: DataFrame, large: int) -> DataFrame:
+    """From rows with fp to (fp, root): each fingerprint and the one that names its component."""
+    fps = rows.select("fp").distinct()
+    tied = stable(components(links(stable(fps), large)))
+    return fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", large: int = LARGE) -> DataFrame:
     """One row (id, fp, component_id) for each row of the documents."""
-    rows = stable(in_small_batches(docs).select(F.col(id), fingerprint(F.col(text)).alias("fp")))
+    rows = stable(docs.select(F.col(id), fingerprint(F.col(text)).alias("fp")))
     firsts = rows.groupBy("fp").agg(F.min(id).alias("first"))
-    tied = stable(components(links(firsts.select("fp"), large)))
-    grouped = firsts.join(tied.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = firsts.join(_named(rows, large), "fp")
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The documents without those that a near duplicate of smaller id stands for; of repeated rows one stays.
+def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", large: int = LARGE) -> DataFrame:
+    """One document of each component: that of smallest id, null ids last, and of equal ids the one of smallest hash.
 
-    Rows without an id stay as they are.
+    A row is named by 128 bits hashed from all its columns, so that rows which share an id are told apart; of rows
+    that are equal in every column one stays.
     """
-    gone = near_duplicates(docs, text, id).filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    kept = docs.join(gone, id, "left_anti").select(*docs.columns)
-    named = kept.filter(F.col(id).isNotNull()).dropDuplicates([id])
-    return named.unionByName(kept.filter(F.col(id).isNull()))
+    a, b = own_name(docs, "_row_a"), own_name(docs, "_row_b")
+    nested = {f.name for f in docs.schema if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))}
+    whole = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if c in nested else F.col(c) for c in docs.columns]
+    whole += [F.col(c).isNull() for c in docs.columns if c not in nested]  # a hash passes over nulls
+    marked = docs.withColumns({a: F.xxhash64(F.lit(7), *whole), b: F.xxhash64(F.lit(8), *whole)})
+    rows = stable(marked.select(F.col(id).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"), fingerprint(F.col(text)).alias("fp")))
+    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull(), "i", "a", "b")).alias("first"))
+    kept = firsts.join(_named(rows, large), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.a").alias(a), F.col("first.b").alias(b))
+    return marked.join(kept, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)

@@ -13,8 +13,9 @@ document are the rates up to it, rounded, from a start chosen among ``STARTS`` a
 taken are then off by less than the longest document. A group of one source and size is dealt to buckets, so that
 many equal rows never meet in one task.
 
-Null and empty texts have size 0 and are taken once. Null sources are one source, the last. Repeated rows count each.
-An empty table gives no rows. Columns named size, source_size, target, copies and taken are replaced.
+Null and empty texts have size 0 and are taken once. Null sources are one source, the last. Repeated rows count each;
+rows that tie in id and text are interchangeable. A text of any length is one row, whole or not at all. An empty table
+gives no rows. Columns named size, source_size, target, copies and taken are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import n_words, stable, uniform
+from quern.llm.common import n_words, own_name, small_table, stable, uniform
 
 MOST = 3
 UNIT = 1 << 20
@@ -56,9 +58,12 @@ def _rate(size: Column, slope: Column, most: int) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(size * slope, F.lit(math.log(most) + 1))))
 
 
-def _source_rows(spark, rows: list[tuple], names: str) -> DataFrame:
-    """A small table with a row for each source; Spark knows its size and broadcasts it or not by that."""
-    return spark.createDataFrame(rows, names)
+KEY_FIELDS = (("_none", pa.bool_()), ("_source", pa.string()))
+
+
+def _source_rows(spark, rows: list[tuple], *fields: tuple[str, pa.DataType]) -> DataFrame:
+    """A small table with a row for each source."""
+    return small_table(spark, rows, (*KEY_FIELDS, *fields))
 
 
 def balance(cells: DataFrame, goals: dict[tuple[bool, str], tuple[float, int, float]], most: int = MOST) -> dict[tuple[bool, str], float]:
@@ -74,7 +79,7 @@ def balance(cells: DataFrame, goals: dict[tuple[bool, str], tuple[float, int, fl
             slope[key], low[key], high[key], reach[key], miss[key], open_[key] = 0.0, -math.inf, math.inf, 0.5 / mean, math.inf, target
     amount = F.col("n") * F.col("size")
     while open_:
-        at = _source_rows(spark, [(*k, slope[k]) for k in open_], "_none boolean, _source string, slope double")
+        at = _source_rows(spark, [(*k, slope[k]) for k in open_], ("slope", pa.float64()))
         rate = _rate(F.col("size"), F.col("slope"), most)
         inner = F.when(F.col("size") * F.col("slope") < math.log(most), amount * F.col("size") * rate).otherwise(0.0)
         sums = cells.filter("size > 0").join(at, ["_none", "_source"]).groupBy("_none", "_source")
@@ -103,19 +108,22 @@ def balance(cells: DataFrame, goals: dict[tuple[bool, str], tuple[float, int, fl
     return slope
 
 
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", weights: Sequence[int] = (1, 2, 3), most: int = MOST, seed: int = 11) -> DataFrame:
     """The rows with size, source_size, target, copies (0 to ``most``) and taken (size times copies)."""
-    spark = docs.sparkSession
+    spark, name = docs.sparkSession, own_name(docs, "_row")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS]
     buckets = 1 + docs.count() // BUCKET_ROWS
-    order = uniform(seed, F.col(id), F.col(text))
-    rows = docs.withColumns(
-        {
-            "size": n_words(F.col(text)),
-            "_none": F.col(source).isNull(),
-            "_source": F.coalesce(F.col(source), F.lit("")),
-            "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id), F.col(text)), buckets),
-            "_order": order,
-        }
+    # the caller's columns are one struct from here, so that none of their names can clash with those of the plan
+    rows = docs.select(
+        F.struct(*rest).alias(name),
+        n_words(F.col(text)).alias("size"),
+        F.col(source).isNull().alias("_none"),
+        F.coalesce(F.col(source), F.lit("")).alias("_source"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id), F.col(text)), buckets).alias("_bucket"),
+        F.struct(uniform(seed, F.col(id), F.col(text)), F.col(id), F.xxhash64(F.col(text))).alias("_order"),
     )
     parts = stable(rows.groupBy(*KEYS).agg(F.count("*").alias("n")))
     cells = stable(parts.groupBy("_none", "_source", "size").agg(F.sum("n").alias("n")))
@@ -123,32 +131,34 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     wanted = targets([(None if r["_none"] else r["_source"], r["w"]) for r in known], weights, most)
     goals = {(r["_none"], r["_source"]): (wanted[None if r["_none"] else r["_source"]], r["w"], r["w"] / (r["k"] or 1)) for r in known}
     slopes = balance(cells, goals, most)
-    plan = _source_rows(spark, [(*k, w, t, slopes[k]) for k, (t, w, _) in goals.items()], "_none boolean, _source string, source_size long, target double, slope double")
 
     # rates in whole units, added up in order of size; then the start that comes nearest to the target
+    plan = _source_rows(spark, [(*k, slopes[k]) for k in goals], ("slope", pa.float64()))
     unit = F.when(F.col("size") > 0, F.round(_rate(F.col("size"), F.col("slope"), most) * UNIT)).otherwise(UNIT).cast("long")
     along = Window.partitionBy("_none", "_source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    lined = cells.join(plan.select("_none", "_source", "slope"), ["_none", "_source"]).withColumn("unit", unit)
+    lined = cells.join(plan, ["_none", "_source"]).withColumn("unit", unit)
     lined = stable(lined.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("unit")).over(along), F.lit(0))).drop("slope"))
     starts = [int((j + 0.5) * UNIT / STARTS) for j in range(STARTS)]
     taken = [F.sum(F.col("size") * (F.shiftright(F.col("before") + F.col("n") * F.col("unit") + s, 20) - F.shiftright(F.col("before") + s, 20))).alias(f"t{j}") for j, s in enumerate(starts)]
     tried = {(r["_none"], r["_source"]): r for r in lined.groupBy("_none", "_source").agg(*taken).collect()}
     best = {k: min(range(STARTS), key=lambda j: (abs(tried[k][f"t{j}"] - goals[k][0]), j)) for k in goals}  # noqa: B023
-    begin = _source_rows(spark, [(*k, w, t, starts[best[k]]) for k, (t, w, _) in goals.items()], "_none boolean, _source string, source_size long, target double, start long")
+    begin = _source_rows(
+        spark, [(*k, w, t, starts[best[k]]) for k, (t, w, _) in goals.items()], ("source_size", pa.int64()), ("target", pa.float64()), ("start", pa.int64())
+    )
 
     inside = Window.partitionBy("_none", "_source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("earlier", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n")
     placed = placed.join(lined.drop("n"), ["_none", "_source", "size"]).join(begin, ["_none", "_source"])
     placed = placed.select(*KEYS, "source_size", "target", "unit", (F.col("before") + F.col("start") + F.col("earlier") * F.col("unit")).alias("from"))
 
-    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("_order", id, F.xxhash64(F.col(text))))
-    ranked = rows.drop("source_size", "target").withColumn("_place", place)
-    end = F.col("from") + F.col("_place") * F.col("unit")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("_order"))
+    end = F.col("from") + F.col("place") * F.col("unit")
     copies = (F.shiftright(end, 20) - F.shiftright(end - F.col("unit"), 20)).cast("long")
-    out = ranked.join(placed, KEYS).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("_none", "_source", "_bucket", "_order", "_place", "unit", "from")
+    out = rows.withColumn("place", place).join(placed, KEYS).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select(f"{name}.*", *RESULTS)
 
 
 def repeat_rows(docs: DataFrame, copies: str = "copies") -> DataFrame:
     """Each row as often as its copies say."""
-    return docs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop("_copy")
+    name = own_name(docs, "_copy")
+    return docs.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(name)

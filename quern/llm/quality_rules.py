@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_RUN, SPACES, let, total, words
+from quern.llm.common import SPACE_RUN, SPACES, let, total, with_fields, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -134,11 +134,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_cap
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of the rules to every row."""
-    return _with_fields(docs, _counts(F.col(text)), COUNTS)
-
-
-def _with_fields(docs: DataFrame, struct: Column, names: tuple[str, ...]) -> DataFrame:
-    return docs.withColumn("_rules", struct).withColumns({k: F.col("_rules")[k] for k in names}).drop("_rules")
+    return with_fields(docs, _counts(F.col(text)), COUNTS)
 
 
 def verdict(counts: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
@@ -166,4 +162,4 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         failed, passed = verdict(counts, rules)
         return F.struct(*[counts[k].alias(k) for k in COUNTS], failed.alias("base_failed"), (~failed & passed).alias("kept"))
 
-    return _with_fields(docs, let(_counts(F.col(text)), judged), (*COUNTS, "base_failed", "kept"))
+    return with_fields(docs, let(_counts(F.col(text)), judged), (*COUNTS, "base_failed", "kept"))

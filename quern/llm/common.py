@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows that a function in Python turns into objects at a time; Spark bounds a batch itself by bytes.
 ROWS_AT_ONCE = 128
-#: Rows of texts in one batch for Python.
-BATCH_ROWS = 256
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
@@ -82,17 +80,6 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], fields: Sequence[tup
     return spark.createDataFrame(pa.table([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]))
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; texts now go to Python in batches of few rows, so that a worker never holds many whole texts.
-
-    Only Spark's default of 10,000 rows a batch is changed; a session's own setting stays.
-    """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -120,7 +107,3 @@ def with_fields(df: DataFrame, struct: Column, names: Iterable[str]) -> DataFram
     """The table with the fields of a struct, computed once, in place of its columns of these names."""
     held = own_name(df, "_held")
     return df.withColumn(held, struct).withColumns({n: F.col(held)[n] for n in names}).drop(held)
-
-
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.drop(*[n for n in names if n in df.columns])

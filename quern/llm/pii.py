@@ -1,49 +1,73 @@
 """Surrogates for personal data: keyed replacements of the same type, gender, script and format.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, card numbers, account numbers (IBAN), social
-security numbers, secrets and persons named with a title. Replacements are keyed permutations: a Feistel network
-over the digits or letters that the entity has, of the same alphabet at each place, so that two different entities of
-a type cannot get the same surrogate anywhere in the corpus, one entity gets the same one everywhere, and nothing is
-exchanged between rows. What must stay valid (Luhn digit, IBAN check digits, octets, private networks) stays so by
-walking the permutation on until a valid value of the same kind comes up, which is again a permutation. Separators, case
-and country codes stay; letter case and separators do not make two entities of one. Given names go to given names of
-the same gender and script; surnames go letter by letter, so that a person named with and without a given name
-keeps one surname. Each document's surrogates are checked for collisions, and ``collisions`` checks all documents'.
-
-A null text stays null, with no entities. Repeated rows get the same text. Columns with the names of results are
-replaced, others pass through. Texts are read whole.
+Detected are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card numbers, account numbers (IBAN), social
+security numbers, secrets and persons named with a title; their given names and surnames are then found wherever the
+same text has them, also without the title. Replacements are keyed permutations: a Feistel network over the digits or
+letters that the entity has, so that two different entities of a type cannot get the same surrogate anywhere in the
+corpus, one entity gets the same one everywhere, and nothing is exchanged between rows. What must stay valid (Luhn
+digit, IBAN check digits, octets, private networks) stays so by walking the permutation on until a valid value of the
+same kind comes up, which is again a permutation. Separators, case and country codes stay; letter case and separators
+do not make two entities of one. Names of the lists go to names of the same list, by gender and script; other names go
+to names composed of consonants and vowels in turn, of a length that follows their own, which no list has. A surname
+does not depend on gender, so that a person named with and without a given name keeps one; endings of Russian surnames
+stay, as they show the gender. Names in other letters go letter by letter. Each document's surrogates are checked for
+collisions, ``collisions`` checks all documents', and ``checked`` raises if there is one.
+
+A null text stays null, with no entities; an empty text has none, and texts are read whole, however long. Repeated rows
+get the same text. Where two patterns match at one place, the first of ``KINDS`` wins. An empty table gives no rows.
+Columns with the names of results are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import math
 import re
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import in_small_batches, per_worker
+from quern.llm.common import own_name, per_worker, structs, values
 
 ROUNDS = 8
 
 # Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Laura Julia Clara Emma Sofia Elena Marta Paula Lucia Carla Sara Eva Nora Lea Ida Ines Rosa Alice Helen Ruth Diana Jane Lisa Karin Petra Sylvie Claire Odile Carmen Pilar",
-    ("latin", "m"): "Paul Peter Martin Thomas Robert David Daniel Simon Lucas Oscar Hugo Felix Victor Adrian Julian Samuel Henry George Frank Karl Otto Erik Pierre Alain Michel Luc Pablo Diego Jorge Carlos Mario Bruno",
+    ("latin", "f"): "Anna Maria Mary Laura Julia Clara Emma Sofia Elena Marta Paula Lucia Carla Sara Eva Nora Lea Ida Ines Rosa Alice Helen Ruth Diana Jane Lisa Karin Petra Sylvie Claire Odile Carmen Pilar",
+    ("latin", "m"): "John James Paul Peter Martin Thomas Robert David Daniel Simon Lucas Oscar Hugo Felix Victor Adrian Julian Samuel Henry George Frank Karl Otto Erik Pierre Alain Michel Luc Pablo Diego Jorge Carlos Mario Bruno",
     ("cyrillic", "f"): "Анна Мария Ольга Елена Ирина Татьяна Наталья Светлана Екатерина Юлия Вера Надежда Любовь Галина Дарья Полина",
     ("cyrillic", "m"): "Иван Пётр Сергей Андрей Алексей Дмитрий Михаил Николай Павел Виктор Борис Олег Игорь Юрий Роман Антон",
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα Δήμητρα Χριστίνα",
     ("greek", "m"): "Γιώργος Δημήτρης Κώστας Νίκος Γιάννης Παναγιώτης Βασίλης Μιχάλης",
 }
-# Titles before names, with the gender they show.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+# Surnames by script.
+SURNAMES = {
+    "latin": "Smith Jones Taylor Brown Wilson Evans Walker Clark Müller Schmidt Weber Wagner Becker Hoffmann Koch Richter Petit Bernard Dubois Moreau Laurent Girard Garcia Lopez Perez Sanchez Torres Ramos Rossi Jansen Novak Silva",
+    "cyrillic": "Иванов Смирнов Кузнецов Попов Васильев Петров Соколов Михайлов Новиков Фёдоров Морозов Волков",
+    "greek": "Παπαδόπουλος Οικονόμου Παππάς Νικολάου Γεωργίου Δημητρίου Αντωνίου Βλάχος",
+}
+# Titles before names, with the gender they show; endings of Russian surnames, those of women first.
+TITLES = {
+    "Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Lady": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
+    "Señor": "m", "Señora": "f", "Señorita": "f", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f", "Dr": "", "Prof": "", "Professor": "",
+}
+ENDINGS = {"ова": "ов", "ева": "ев", "ёва": "ёв", "ина": "ин", "ская": "ский", "ов": "ов", "ев": "ев", "ёв": "ёв", "ин": "ин", "ский": "ский"}
+#: What ends a composed name: nothing that a consonant, a vowel and so on with this end spells is in a list.
+TAILS = {
+    "latin": {"given/f": "yne", "given/m": "or", "given/": "ey", "surname": "holt"},
+    "cyrillic": {"given/f": "лия", "given/m": "слав", "given/": "ша", "surname": "енко"},
+    "greek": {"given/f": "ινα", "given/m": "ιδης", "given/": "ης", "surname": "ακης"},
+}
+#: Letters of names and the consonants and vowels that others are composed of, by script.
+LETTERS = {"latin": ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "aeiouy"), "cyrillic": ("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "бвгджзклмнпрстфхцчшщ", "аеиоуыэюя"), "greek": ("αβγδεζηθικλμνξοπρστυφχψως", "βγδζθκλμνξπρστφχψ", "αεηιουω")}
 #: Alphabets of one case; a letter stays in its own.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßœ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώ"]
 RANGES = [(0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x0620, 0x064A), (0x05D0, 0x05EA), (0x0904, 0x0939), (0x0E01, 0x0E2E)]
-KINDS = ("email", "secret", "iban", "card", "ipv4", "ssn", "phone", "person")
+KINDS = ("email", "secret", "iban", "card", "ipv4", "ipv6", "ssn", "phone", "person")
 
 # \\s is not used: an entity stays in its line.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -56,10 +80,11 @@ PATTERN = re.compile(
             r"(?<![^\W_])(?P<bare>(?=[a-fA-F]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![^\W_]))",
             r"(?P<iban>(?<![^\W_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![^\W_]))",
             rf"(?P<ipv4>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))",
+            r"(?P<ipv6>(?<![\w:.])(?=[a-f]{0,3}\d)[0-9A-Fa-f]{3,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]))",
             r"(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))",
             r"(?P<card>(?<![\w+])\d(?:[ \-]?\d){12,18}(?!\d))",
-            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{2,5}){1,5}(?!\d)|(?<![\w(])\(\d{2,5}\)[ .\-]?\d{3,5}[ .\-]\d{2,5}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))",
-            rf"(?<![^\W_])(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0](?P<person>(?:{_NAME}[ \xa0])?{_NAME})",
+            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{2,5}){1,5}(?!\d)|(?<![\w(])\(\d{2,5}\)[ .\-]?\d{3,5}[ .\-]\d{2,5}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])|(?<![\w.\-])(?<!\d )\d{3} \d{3} \d{4}(?![\w\-]| \d))",
+            rf"(?<![^\W_])(?P<title>(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0])+)(?P<person>(?:{_NAME}[ \xa0])?{_NAME})",
         ]
     )
 )
@@ -141,7 +166,8 @@ class Surrogates:
     def __init__(self, key: bytes) -> None:
         self.permute = Permutation(key)
         self.lists = {k: v.split() for k, v in GIVEN.items()}
-        self.places = {k: {n.lower(): i for i, n in enumerate(v)} for k, v in self.lists.items()}
+        self.surnames = {k: v.split() for k, v in SURNAMES.items()}
+        self.listed = {n.lower() for names in (*self.lists.values(), *self.surnames.values()) for n in names}
         self.known: dict[tuple[str, str], str] = {}
 
     def spell(self, tweak: str, text: str, hexadecimal: bool = False) -> str:
@@ -215,20 +241,73 @@ class Surrogates:
             if kind(n) == base:
                 return ".".join(map(str, n.to_bytes(4, "big")))
 
+    def ipv6(self, x: str) -> str:
+        """Within its network, if that is one of a kind (local, unique local, multicast, for documentation)."""
+        kind = lambda n: next((p for p in ((0xFE80 << 112, 118), (0xFC << 120, 121), (0xFF << 120, 120), (0x20010DB8 << 96, 96)) if n >> p[1] == p[0] >> p[1]), (0, 128))
+        n = int(ipaddress.IPv6Address(x))
+        held = kind(n)
+        mask = (1 << held[1]) - 1
+        while True:
+            n = n & ~mask | self.permute.apply(f"ip6/{held[0]}", n & mask, 1 << held[1] // 2, 1 << held[1] - held[1] // 2)
+            if kind(n) == held:
+                new = ipaddress.IPv6Address(n)
+                new = new.exploded if len(x) == 39 else new.compressed
+                return new.upper() if x.isupper() else new
+
+    def _listed(self, tweak: str, names: list[str], low: str) -> str | None:
+        """A name of the list goes to the next in a keyed order."""
+        places = [n.lower() for n in names]
+        if low not in places:
+            return None
+        order = sorted(range(len(names)), key=lambda k: self.permute._draw(tweak.encode(), 0, k))
+        return places[order[(order.index(places.index(low)) + 1) % len(names)]]
+
+    def _composed(self, tweak: str, low: str, script: str) -> str:
+        """Consonants and vowels in turn; longer names get longer ones, so that no two lengths meet."""
+        letters, *sounds = LETTERS[script]
+        x, size, length, room = 0, 1, 0, 1
+        for c in low:
+            x, size = x * len(letters) + letters.index(c), size * len(letters)
+            while True:  # at least one more sound for one more letter
+                room *= len(sounds[length % 2])
+                length += 1
+                if room >= size:
+                    break
+        a = math.prod(len(sounds[i % 2]) for i in range(length // 2))
+        x, out = self.permute.apply(f"{tweak}/{script}/{len(low)}", x, a, room // a), []
+        for i in range(length - 1, -1, -1):
+            x, at = divmod(x, len(sounds[i % 2]))
+            out.append(sounds[i % 2][at])
+        return "".join(reversed(out))
+
+    def _name(self, tweak: str, name: str, names: list[str], script: str) -> str:
+        low = name.lower()
+        ending = next((e for e in ENDINGS if low.endswith(e) and len(low) > len(e) + 1), "") if tweak == "surname" and script == "cyrillic" else ""
+        stem = low.removesuffix(ending)
+        new = self._listed(f"{tweak}/{script}", names, stem + ENDINGS.get(ending, ""))
+        if new is not None:
+            new = new.removesuffix(ENDINGS[ending]) + ending if ending and new.endswith(ENDINGS[ending]) else new + "а" * ending.endswith("а")
+        elif all(c in LETTERS[script][0] for c in stem):
+            after = TAILS[script][tweak] if not ending else "" if ending.startswith("ск") else "ск"
+            new = self._composed(tweak, stem, script) + after + ending
+        else:
+            new = self._walk(lambda x: self.spell("name", x), low, lambda x: x not in self.listed)
+        return new.upper() if name.isupper() and len(name) > 1 else new if name.islower() else new.title()
+
     def given(self, name: str, gender: str) -> str:
-        """A name of the lists goes to one of its list; others are spelled anew, outside the lists."""
-        script = next((s for s, lo, hi in (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF)) if lo <= ord(name[0]) <= hi), "latin")
-        names, places = self.lists[script, gender], self.places[script, gender]
-        i = places.get(name.lower())
-        if i is None:
-            return self._walk(lambda s: self.spell(f"given/{gender}", s), name, lambda s: s.lower() not in places)
-        order = sorted(range(len(names)), key=lambda k: self.permute._draw(f"names/{script}/{gender}".encode(), 0, k))
-        new = names[order[(order.index(i) + 1) % len(names)]]
-        return new.upper() if name.isupper() and len(name) > 1 else new.lower() if name.islower() else new
+        """By gender; where the title shows none, the lists may."""
+        script = _script(name)
+        gender = gender or next((g for g in "fm" if name.lower() in [n.lower() for n in self.lists[script, g]]), "")
+        names = self.lists[script, gender] if gender else []
+        return "".join(self._name(f"given/{gender}", x, names, script) if x[:1].isalpha() else x for x in re.split(r"(['’\-])", name))
+
+    def surname(self, name: str) -> str:
+        script = _script(name)
+        return "".join(self._name("surname", x, self.surnames[script], script) if x[:1].isalpha() else x for x in re.split(r"(['’\-])", name))
 
     def person(self, x: str, gender: str) -> str:
         parts = re.split(r"([ \xa0])", x)
-        last = self.spell("surname", parts[-1])
+        last = self.surname(parts[-1])
         return self.given(parts[0], gender) + parts[1] + last if len(parts) == 3 else last
 
     def of(self, kind: str, x: str, gender: str = "") -> str:
@@ -241,10 +320,16 @@ class Surrogates:
         return held
 
 
+def _script(name: str) -> str:
+    return next((s for s, lo, hi in (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF)) if lo <= ord(name[0]) <= hi), "latin")
+
+
 def canonical(kind: str, x: str) -> str:
     """What makes two spellings one entity."""
     if kind in ("card", "phone", "ssn", "iban"):
         return re.sub(r"[^0-9A-Za-z+]", "", x)
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(x).compressed
     return x.lower() if kind in ("email", "person") else x
 
 
@@ -272,7 +357,7 @@ def _matches(text: str) -> Iterator[tuple[re.Match, int]]:
 
 
 def detect(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """(kind, start, end, gender) of the entities, in order; places are code points."""
+    """(kind, start, end, gender) of the entities that show themselves, in order; places are code points."""
     for m, line in _matches(text):
         kind = next(k for k in (*KINDS, "bare") if m[k] is not None)
         if kind == "person":
@@ -280,24 +365,53 @@ def detect(text: str) -> Iterator[tuple[str, int, int, str]]:
             if not (first or rest)[0].isupper():
                 continue
             end = m.end("person") if rest[:1].isupper() or not first else m.start("person") + len(first)
-            yield kind, line + m.start("person"), line + end, TITLES[m["title"]]
-        else:
+            shown = {TITLES[x] for x in re.split(r"[. \xa0]+", m["title"]) if x}
+            yield kind, line + m.start("person"), line + end, next(iter(shown - {""}), "")
+        elif kind != "ipv6" or _is_ipv6(m["ipv6"]):
             yield ("secret" if kind == "bare" else kind), line + m.start(kind), line + m.end(kind), ""
 
 
+def _is_ipv6(x: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(x))
+    except ValueError:
+        return False
+
+
+def _mentions(text: str, found: list[tuple[str, int, int, str]], surrogates: Surrogates) -> Iterator[tuple[str, int, int, str]]:
+    """Places outside the entities found where a name of a titled person stands alone; (person, start, end, surrogate)."""
+    new: dict[str, str] = {}
+    for kind, s, e, gender in found:
+        if kind == "person":
+            *given, last = re.split(r"[ \xa0]", text[s:e])
+            for x, y in [(last, surrogates.surname(last)), *((g, surrogates.given(g, gender)) for g in given)]:
+                if len(x) > 1:
+                    new.setdefault(x, y)
+    if not new:
+        return
+    ends, at = [(s, e) for _, s, e, _ in found], 0
+    for m in re.finditer(rf"(?<![\w'’\-@.])(?:{'|'.join(map(re.escape, sorted(new, key=len, reverse=True)))})(?![\w\-@])", text):
+        while at < len(ends) and ends[at][1] <= m.start():
+            at += 1
+        if at == len(ends) or m.end() <= ends[at][0]:
+            yield "person", m.start(), m.end(), new[m[0]]
+
+
 def rewrite(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int, str, str]]]:
     """The text with surrogates, and (kind, start, end, old, new) of each entity; places are the old text's."""
+    shown = list(detect(text))
+    all_ = [(kind, s, e, surrogates.of(kind, text[s:e], gender)) for kind, s, e, gender in shown]
+    all_ = sorted([*all_, *_mentions(text, shown, surrogates)], key=lambda x: x[1])
     out, found, at = [], [], 0
-    for kind, s, e, gender in detect(text):
-        old = text[s:e]
-        new = surrogates.of(kind, old, gender)
+    for kind, s, e, new in all_:
         out += [text[at:s], new]
-        found.append((kind, s, e, old, new))
+        found.append((kind, s, e, text[s:e], new))
         at = e
     return ("".join([*out, text[at:]]) if found else text), found
 
 
-FIELDS = "text_out string, n_entities long, n_distinct long, n_collisions long, spans array<struct<kind:string,start:int,end:int,surrogate:string>>"
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])
+FIELDS = (("text_out", pa.string()), ("n_entities", pa.int64()), ("n_distinct", pa.int64()), ("n_collisions", pa.int64()), ("spans", pa.list_(SPAN)))
 
 
 def _digest(text: str | None, surrogates: Surrogates) -> tuple:
@@ -310,21 +424,19 @@ def _digest(text: str | None, surrogates: Surrogates) -> tuple:
     return new, len(found), len({(k, a) for k, a, _ in pairs}), abs(hit), spans
 
 
-def _udf(docs: DataFrame, key: bytes):
-    @F.pandas_udf(FIELDS)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        s = per_worker(("pii", key), lambda: Surrogates(key))
-        for texts in batches:
-            yield pd.DataFrame([_digest(x, s) for x in texts], columns=["text_out", "n_entities", "n_distinct", "n_collisions", "spans"])
-
-    return apply
-
-
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """The rows with the text rewritten, and n_entities, n_distinct, n_collisions and spans."""
-    out = in_small_batches(docs).withColumn("_pii", _udf(docs, key)(F.col(text)))
-    names = ("n_entities", "n_distinct", "n_collisions", "spans")
-    return out.withColumns({text: F.col("_pii.text_out"), **{n: F.col("_pii")[n] for n in names}}).drop("_pii")
+
+    @F.arrow_udf("text_out string, n_entities long, n_distinct long, n_collisions long, spans array<struct<kind:string,start:int,end:int,surrogate:string>>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        s = per_worker(("pii", key), lambda: Surrogates(key))
+        for batch in batches:
+            yield structs([_digest(x, s) for part in values(batch) for x in part], FIELDS)
+
+    held = own_name(docs, "_pii")
+    names = [n for n, _ in FIELDS[1:]]
+    out = docs.withColumn(held, apply(F.col(text)))
+    return out.withColumns({text: F.col(held)["text_out"], **{n: F.col(held)[n] for n in names}}).drop(held)
 
 
 def collisions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
@@ -333,16 +445,23 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     Entities leave their row as keyed hashes only. A surrogate is grouped with all its entities' hashes counted, in
     partial sums first, so that a frequent entity is one row for each task.
     """
+    pair = pa.struct([(n, pa.string()) for n in ("kind", "entity", "surrogate")])
 
-    @F.pandas_udf("array<struct<kind:string,entity:string,surrogate:string>>")
-    def pairs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<kind:string,entity:string,surrogate:string>>")
+    def pairs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = per_worker(("pii", key), lambda: Surrogates(key))
-        for texts in batches:
-            rows = []
-            for x in texts:
-                found = rewrite(x or "", s)[1]
-                rows.append([{"kind": k, "entity": hashlib.blake2b(canonical(k, a).encode(), key=s.permute.key, digest_size=16).hexdigest(), "surrogate": canonical(k, b)} for k, _, _, a, b in found])
-            yield pd.Series(rows)
-
-    each = in_small_batches(docs).select(F.explode(pairs(F.col(text))).alias("x")).select("x.*").distinct()
+        hidden = lambda k, a: hashlib.blake2b(canonical(k, a).encode(), key=s.permute.key, digest_size=16).hexdigest()
+        for batch in batches:
+            found = (rewrite(x or "", s)[1] for part in values(batch) for x in part)
+            yield pa.array([[{"kind": k, "entity": hidden(k, a), "surrogate": canonical(k, b)} for k, _, _, a, b in x] for x in found], pa.list_(pair))
+
+    each = docs.select(F.explode(pairs(F.col(text))).alias("x")).select("x.*").distinct()
     return each.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def checked(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """``pseudonymize``, once no surrogate in all documents stands for two entities; else an error names one."""
+    bad = collisions(docs, key, text).first()
+    if bad is not None:
+        raise ArithmeticError(f"the {bad['kind']} {bad['surrogate']!r} stands for {bad['n']} entities")
+    return pseudonymize(docs, key, text)

@@ -6,23 +6,25 @@ over its rows and the weights are averaged. Scoring is a sparse dot product per
 
 A null or empty text has no n-gram and gets the score of the intercept. Labels other than 0 and 1, null ids and ids
 that no document has teach nothing; a label given twice counts twice. Without any label to learn from, every score
-is 0.5. Further columns of the documents pass through; columns named score and predicted are replaced.
+is 0.5. A score that ties with the threshold is predicted 1. A text of any length is scored whole, repeated rows alike,
+an empty table gives no rows. Further columns of the documents pass through; columns named score and predicted are
+replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.llm.common import in_small_batches, per_worker, stable
+from quern.llm.common import per_worker, stable, values
 
 BITS, GROUP = 18, 1250
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -40,7 +42,7 @@ class Training:
     beta: float = 1.0
     l1: float = 0.005
     l2: float = 0.02
-    epochs: int = 8
+    epochs: int = 3
 
 
 def _shape(token: str) -> str:
@@ -115,21 +117,39 @@ def train(texts: list[str | None], labels: list[int], p: Training, seed: int = 0
     return w, start - z0 / ((p.beta + np.sqrt(n0)) / p.alpha)
 
 
+def cross_validate(texts: list[str | None], labels: list[int], folds: list[int], settings: list[Training], threshold: float = 0.3) -> list[tuple[float, float]]:
+    """(log loss, accuracy) of each setting over rows that may be learned from, each scored by a model without its fold."""
+    codes, out = _Codes(), []
+    found = [features(t, codes) for t in texts]
+    for p in settings:
+        loss = right = 0.0
+        for f in sorted(set(folds)):
+            learn = [i for i, x in enumerate(folds) if x != f]
+            w, b = train([texts[i] for i in learn], [labels[i] for i in learn], p)
+            for i in (i for i, x in enumerate(folds) if x == f):
+                score = float(_logistic(b + float(w[found[i][0]] @ found[i][1])))
+                loss -= math.log(max(1e-9, score if labels[i] else 1 - score))
+                right += (score >= threshold) == bool(labels[i])
+        out.append((loss / len(texts), right / len(texts)))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Training = Training(), text: str = "text", id: str = "doc_id", label: str = "quality") -> tuple[np.ndarray, float]:
     """Weights and intercept; the driver gets only the weights that are not 0 of each group."""
-    given = labels.select(F.col(id), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col(id).isNotNull())
-    chosen = stable(given.orderBy(F.xxhash64(id), id, "y").limit(p.most_rows))
+    given = labels.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("i").isNotNull())
+    chosen = stable(given.orderBy(F.xxhash64("i"), "i", "y").limit(p.most_rows))
     groups = max(1, -(-chosen.count() // GROUP))
-    rows = docs.select(id, F.col(text).alias("t")).join(F.broadcast(chosen), id)  # chosen: most_rows small rows at most
-    rows = rows.select(id, "t", "y", F.pmod(F.xxhash64(F.lit(1), id), groups).alias("shard"))
+    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")  # chosen: most_rows small rows at most
+    rows = rows.select("i", "t", "y", F.pmod(F.xxhash64(F.lit(1), "i"), groups).alias("shard"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id, "y", "t"])
-        w, b = train(pdf["t"].tolist(), pdf["y"].tolist(), p)
+    def one(group: pa.Table) -> pa.Table:
+        held = sorted(zip(*(group[c].to_pylist() for c in ("i", "y", "t", "shard")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
+        w, b = train([r[2] for r in held], [r[1] for r in held], p)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(pdf)], "b": [b], "at": [at.astype(np.int32).tobytes()], "w": [w[at].astype(np.float32).tobytes()]})
+        found = {"shard": [held[0][3]], "n": [len(held)], "b": [b], "at": [at.astype(np.int32).tobytes()], "w": [w[at].astype(np.float32).tobytes()]}
+        return pa.table(found)
 
-    parts = sorted(rows.groupBy("shard").applyInPandas(one, "shard long, n long, b double, at binary, w binary").collect())
+    parts = sorted(rows.groupBy("shard").applyInArrow(one, "shard long, n long, b double, at binary, w binary").collect())
     weights, intercept, n = np.zeros(1 << BITS), 0.0, sum(r["n"] for r in parts)
     for r in parts:
         weights[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["w"], np.float32) * (r["n"] / n)
@@ -141,16 +161,13 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]) -> Callable[[Column
     """Column of texts to column of scores; the model is 1 MB, whatever the documents."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = held.value
         codes = per_worker(("codes",), _Codes)
-        for texts in batches:
-            out = np.empty(len(texts))
-            for i, t in enumerate(texts):
-                at, value = features(t, codes)
-                out[i] = _logistic(b + float(w[at] @ value))
-            yield pd.Series(out)
+        for batch in batches:
+            found = (features(t, codes) for part in values(batch) for t in part)
+            yield pa.array([float(_logistic(b + float(w[at] @ value))) for at, value in found], pa.float64())
 
     return score
 
@@ -158,4 +175,4 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]) -> Callable[[Column
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p: Training = Training(), text: str = "text", id: str = "doc_id", label: str = "quality") -> DataFrame:
     """The documents with ``score`` (how likely label 1 is) and ``predicted``."""
     score = scorer(docs, fit(docs, labels, p, text, id, label))
-    return in_small_batches(docs).withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

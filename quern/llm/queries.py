@@ -42,7 +42,7 @@ SURROGATE_KEY = b"quern-public-demonstration-key"
 
 @register
 def op3_pii_surrogates(spark, sf_dir):
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return pii.checked(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
 
 
 @register
@@ -113,7 +113,7 @@ def op8_multiset_fingerprint(spark, sf_dir):
 
 @register
 def op9_main_text(spark, sf_dir):
-    return site_style.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return site_style.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "decided_by")
 
 
 @register

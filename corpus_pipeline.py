@@ -3,7 +3,13 @@
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir). ``run`` applies them in order and keeps each
 stage's rows as files, so that no stage is computed twice. All but the last return the columns of documents.
 ``ORACLE_SQL`` is None: the classifier, the surrogates and the vocabulary cannot be expressed in SQL; tests/llm holds
-the stages against brute force.
+``run`` against a version of the stages that goes through rows one by one.
+
+Null and empty texts have the classifier's intercept as score, no words, no personal data, size 0 and no tokens; those
+that stay are taken once. Null ids and rows that share an id are documents like others; of documents that are near
+duplicates of each other, rows that repeat one included, one stays. Null sources are one source. Ties go as the
+operators state. Texts are read whole, however long. Empty tables give no rows, and without labels every score is
+0.5, so that all documents stay. Columns beyond those of documents are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,11 +49,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the digests of the ids and of the text that they decode to."""
-    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern)
-    back = bpe.decode(coded, ranks, pattern)
-    return back.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids, and the digests of the ids and of the text that they decode to, in one pass over the texts."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.round_trip(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, ids="ids")
+    return out.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -141,8 +141,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of()
-        for batch in batches:
-            yield pa.array([codec.encode(x).astype(np.int32) for part in values(batch) for x in part], pa.list_(pa.int32()))
+        for part in values(batches):
+            yield pa.array([codec.encode(x).astype(np.int32) for x in part], pa.list_(pa.int32()))
 
     return docs.withColumn(to, ids(F.col(text)))
 
@@ -154,8 +154,8 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
     @F.arrow_udf("binary")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of()
-        for batch in batches:
-            yield pa.array([codec.decode(np.asarray(x or [], np.int64)) for part in values(batch) for x in part], pa.binary())
+        for part in values(batches):
+            yield pa.array([codec.decode(np.asarray(x or [], np.int64)) for x in part], pa.binary())
 
     return docs.withColumn(to, back(F.col(ids)))
 
@@ -171,9 +171,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (f", `{ids}` array<int>" if ids else ""))
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of()
-        for batch in batches:
+        for part in values(batches):
             rows = []
-            for x in (x for part in values(batch) for x in part):
+            for x in part:
                 found = codec.encode(x)
                 row = (len(found), hashlib.sha256(found.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode(found)).hexdigest())
                 rows.append((*row, found.astype(np.int32)) if ids else row)

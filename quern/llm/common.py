@@ -63,10 +63,14 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def values(batch: pa.Array, rows: int = ROWS_AT_ONCE) -> Iterator[list]:
-    """The batch as lists of Python values, few rows at a time, so that a worker never holds many whole texts."""
-    for i in range(0, len(batch), rows):
-        yield batch.slice(i, rows).to_pylist()
+def values(batches: Iterable[pa.Array], rows: int = ROWS_AT_ONCE) -> Iterator[list]:
+    """The batches as lists of Python values, few rows at a time.
+
+    Who yields a result for each list holds few whole texts and results beside Spark's batch, whatever its size.
+    """
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows).to_pylist()
 
 
 def structs(rows: Sequence[tuple], fields: Sequence[tuple[str, pa.DataType]]) -> pa.StructArray:

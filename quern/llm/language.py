@@ -298,8 +298,8 @@ class Scorer:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([words_of(t) for part in values(batch) for t in part], pa.list_(pa.string()))
+    for part in values(batches):
+        yield pa.array(list(map(words_of, part)), pa.list_(pa.string()))
 
 
 def fit(docs: DataFrame, p: Training = Training(), text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model | None:
@@ -335,8 +335,8 @@ def _calibrate(model: Model, held_back: DataFrame, p: Training) -> None:
     @F.arrow_udf("array<double>")
     def entropies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = Scorer(sent.value)
-        for batch in batches:
-            yield pa.array([row for part in values(batch) for row in s.entropies(part).tolist()], pa.list_(pa.float64()))
+        for part in values(batches):
+            yield pa.array(s.entropies(part).tolist(), pa.list_(pa.float64()))
 
     got = held_back.select("l", entropies(F.col("t")).alias("h")).collect()
     truth = np.array([model.langs.index(r["l"]) if r["l"] in model.langs else -1 for r in got], int)
@@ -362,8 +362,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", reject: b
     @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = per_worker(("language", name), lambda: Scorer(sent.value))
-        for batch in batches:
-            rows = [row for part in values(batch) for row in s.predict(part)]
+        for part in values(batches):
+            rows = s.predict(part)
             if reject:
                 rows = [(UNKNOWN if r else a, b, c, r) for a, b, c, r in rows]
             yield structs(rows, FIELDS)

@@ -120,7 +120,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         keys, where, peeks = (batch.column(n).to_pylist() for n in ("_id", "_range", "_peek"))
-        texts = (x for part in values(batch.column("_text")) for x in part)
+        texts = (x for part in values([batch.column("_text")]) for x in part)
         for key, text, at, peek in zip(keys, texts, where, peeks, strict=True):
             if peek and at == ended:
                 continue  # the range has had its next row

@@ -430,8 +430,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     @F.arrow_udf("text_out string, n_entities long, n_distinct long, n_collisions long, spans array<struct<kind:string,start:int,end:int,surrogate:string>>")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = per_worker(("pii", key), lambda: Surrogates(key))
-        for batch in batches:
-            yield structs([_digest(x, s) for part in values(batch) for x in part], FIELDS)
+        for part in values(batches):
+            yield structs([_digest(x, s) for x in part], FIELDS)
 
     held = own_name(docs, "_pii")
     names = [n for n, _ in FIELDS[1:]]
@@ -451,8 +451,8 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     def pairs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = per_worker(("pii", key), lambda: Surrogates(key))
         hidden = lambda k, a: hashlib.blake2b(canonical(k, a).encode(), key=s.permute.key, digest_size=16).hexdigest()
-        for batch in batches:
-            found = (rewrite(x or "", s)[1] for part in values(batch) for x in part)
+        for part in values(batches):
+            found = (rewrite(x or "", s)[1] for x in part)
             yield pa.array([[{"kind": k, "entity": hidden(k, a), "surrogate": canonical(k, b)} for k, _, _, a, b in x] for x in found], pa.list_(pair))
 
     each = docs.select(F.explode(pairs(F.col(text))).alias("x")).select("x.*").distinct()

@@ -165,8 +165,8 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]) -> Callable[[Column
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = held.value
         codes = per_worker(("codes",), _Codes)
-        for batch in batches:
-            found = (features(t, codes) for part in values(batch) for t in part)
+        for part in values(batches):
+            found = (features(t, codes) for t in part)
             yield pa.array([float(_logistic(b + float(w[at] @ value))) for at, value in found], pa.float64())
 
     return score

@@ -52,8 +52,8 @@ def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array(np.fromiter((simhash(x) for part in values(batch) for x in part), np.uint64, len(batch)).view(np.int64))
+    for part in values(batches):
+        yield pa.array(np.fromiter(map(simhash, part), np.uint64, len(part)).view(np.int64))
 
 
 def fingerprint(text: Column) -> Column:

@@ -263,8 +263,8 @@ def _rows_of(page: str | None) -> tuple[bytes, list[tuple]]:
 
 
 def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        out = [_rows_of(page) for part in values(batch) for page in part]
+    for part in values(batches):
+        out = list(map(_rows_of, part))
         flat = structs([row for _, rows in out for row in rows], [(f.name, f.type) for f in ROW])
         ends = np.cumsum([0, *(len(rows) for _, rows in out)])
         yield pa.StructArray.from_arrays([pa.array([same for same, _ in out], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["same", "rows"])
@@ -372,8 +372,9 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", p: Pruning =
     @F.arrow_udf("text string, decided_by string")
     def text_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html_, lists in batches:
-            both = ((x, g) for a, b in zip(values(html_), values(lists), strict=True) for x, g in zip(a, b, strict=True))
-            yield structs([decide(x, frozenset(g or ()), names) for x, g in both], (("text", pa.string()), ("decided_by", pa.string())))
+            for part in zip(values([html_]), values([lists]), strict=True):
+                rows = [decide(x, frozenset(g or ()), names) for x, g in zip(*part, strict=True)]
+                yield structs(rows, (("text", pa.string()), ("decided_by", pa.string())))
 
     host, branches, found = (own_name(pages, x) for x in ("_host", "_gone", "_found"))
     hosted = pages.withColumn(host, _host(url))

@@ -5,12 +5,36 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields, replace
 
 
-class ConfigError(ValueError):
-    """code CONFIG_ERROR"""
+class QuernError(Exception):
+    """What the package raises on purpose; ``code`` tells the part."""
 
+    code = "ERROR"
+
+
+class ConfigError(QuernError, ValueError):
     code = "CONFIG_ERROR"
 
 
+class RetrievalError(QuernError, RuntimeError):
+    code = "RETRIEVAL_ERROR"
+
+
+class ModelError(QuernError, RuntimeError):
+    code = "LLM_ERROR"
+
+
+class MemoryError_(QuernError, RuntimeError):
+    code = "MEMORY_ERROR"
+
+
+ERRORS = {e.code: e for e in (ConfigError, RetrievalError, ModelError, MemoryError_)}
+
+
+def changed(config, **new):
+    """A copy with other settings, validated."""
+    return replace(config, **new).validate()
+
+
 def _check(ok: bool, what: str) -> None:
     if not ok:
         raise ConfigError(what)
@@ -47,14 +71,14 @@ class IndexConfig:
     """TF-IDF index and ranking."""
 
     min_term_frequency: int = 1
-    max_postings_per_term: int = 100_000
+    max_postings_per_term: int | None = 100_000  # None: no cap
     normalize_scores: bool = True
     score_threshold: float = 0.0
     max_results: int = 100
     text: TextConfig = field(default_factory=lambda: TEXT_PRESETS["retrieval"])
 
     def validate(self) -> IndexConfig:
-        _check(self.min_term_frequency >= 1 and self.max_postings_per_term >= 1 and self.max_results >= 1, "index limits")
+        _check(self.min_term_frequency >= 1 and (self.max_postings_per_term is None or self.max_postings_per_term >= 1) and self.max_results >= 1, "index limits")
         self.text.validate()
         return self
 
@@ -181,6 +205,30 @@ class GenerationConfig:
         _check(0 <= self.temperature <= 2 and 0 < self.top_p <= 1 and self.max_tokens > 0, "generation ranges")
         return self
 
+    def is_valid(self) -> bool:
+        try:
+            return bool(self.validate())
+        except ConfigError:
+            return False
+
+
+@dataclass(frozen=True)
+class ModelConfig(GenerationConfig):
+    """Settings of a model; names that are empty are not given."""
+
+    model: str = "gpt-3.5-turbo"
+    api_key: str = ""
+    base_url: str = ""
+
+    def validate(self) -> ModelConfig:
+        super().validate()
+        _check(bool(self.model), "a model's name")
+        return self
+
+    def merged(self, new: ModelConfig) -> ModelConfig:
+        """The new settings; a name that they lack stays as it was."""
+        return replace(new, **{k: getattr(new, k) or getattr(self, k) for k in ("model", "api_key", "base_url")}).validate()
+
 
 @dataclass(frozen=True)
 class AgentConfig:

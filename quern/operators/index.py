@@ -1,30 +1,38 @@
-"""Inverted index tables of a corpus."""
+"""Inverted index tables of a corpus, and their form as files."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.config import BM25Config, IndexConfig
+from quern.config import BM25Config, IndexConfig, TextConfig
 from quern.functions.text import process
+from quern.sources.tables import dealt, kept
+
+#: Folders of a stored index, by hash of the term; query terms that are looked up by value, beyond by a join.
+BUCKETS, MOST_TERMS = 64, 20_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf, dl[, positions]) with the document's length dl, doc_stats(doc_id, term_count, unique_terms), corpus(n_docs, avgdl)."""
+    """postings(term, doc_id, tf, dl[, positions]) with the document's length dl, doc_stats(doc_id, term_count, unique_terms), corpus(n_docs, avgdl).
+
+    A stored index also has its terms (bucket, term, df, ttf), and a bucket beside each posting.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
     corpus: DataFrame
     config: IndexConfig
+    terms: DataFrame | None = None
 
     def term_stats(self) -> DataFrame:
         """(term, df, ttf, idf, idf_bm25) of the kept postings."""
-        stats = self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        return with_idf(stats, self.corpus)
+        return with_idf(counted_terms(self.postings) if self.terms is None else self.terms.drop("bucket"), self.corpus)
 
     def with_norm(self, rows: DataFrame, length: str) -> DataFrame:
         """Rows with the length normalization of BM25, 1 if the corpus has no token. The corpus is one row."""
@@ -43,21 +51,62 @@ class Index:
     def frequent_terms(self, limit: int = 10) -> DataFrame:
         return self.term_stats().orderBy(F.desc("ttf"), "term").limit(limit)
 
+    def prune_vocabulary(self, most: int) -> Index:
+        """Only the ``most`` most frequent terms, ties by term; documents and their lengths stay."""
+        top = self.frequent_terms(most).select("term")
+        terms = None if self.terms is None else self.terms.join(top, "term", "left_semi")
+        return Index(self.postings.join(top, "term", "left_semi"), self.doc_stats, self.corpus, self.config, terms)
+
     def add(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> Index:
         """The index with further documents: postings and lengths are appended, statistics follow."""
         more = build_index(docs, self.config, id, text)
         stats = self.doc_stats.unionByName(more.doc_stats)
-        return Index(_capped(self.postings.unionByName(more.postings), self.config), stats, _corpus(stats), self.config)
+        return Index(_capped(self.postings.drop("bucket").unionByName(more.postings), self.config), stats, _corpus(stats), self.config)
 
     def remove(self, ids: DataFrame, id: str = "doc_id") -> Index:
         gone = ids.select(F.col(id).alias("doc_id"))
         stats = self.doc_stats.join(gone, "doc_id", "left_anti")
-        return Index(self.postings.join(gone, "doc_id", "left_anti"), stats, _corpus(stats), self.config)
+        return Index(self.postings.join(gone, "doc_id", "left_anti").drop("bucket"), stats, _corpus(stats), self.config)
 
     def only(self, terms: DataFrame) -> Index:
         """Only the postings of the terms given: what a batch of queries needs."""
         return Index(self.postings.join(terms, "term", "left_semi"), self.doc_stats, self.corpus, self.config)
 
+    def save(self, path: str) -> None:
+        """Files of the tables: postings and terms in folders by hash of the term, sorted, so that a query reads few.
+
+        Rows are exchanged by ranges of (bucket, term, doc_id), so that a frequent term is written by many tasks.
+        """
+        postings = self.postings.drop("bucket").withColumn("bucket", _bucket())
+        order = ["bucket", "term", "doc_id"]
+        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        spark = postings.sparkSession
+        stored = spark.read.parquet(f"{path}/postings")
+        counted_terms(stored).withColumn("bucket", _bucket()).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        _corpus(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus")
+        config = json.dumps({"kind": type(self.config).__name__, **asdict(self.config)})
+        spark.range(1).select(F.lit(config).alias("value")).write.mode("overwrite").text(f"{path}/config")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        """A saved index. The driver reads its settings and the one row of the corpus."""
+        held = json.loads(spark.read.text(f"{path}/config").first()["value"])
+        kind = {"IndexConfig": IndexConfig, "BM25Config": BM25Config}[held.pop("kind")]
+        config = kind(**held | {"text": TextConfig(**held["text"])})
+        one = spark.read.parquet(f"{path}/corpus").first()
+        corpus = spark.range(1).select(F.lit(one["n_docs"]).alias("n_docs"), F.lit(one["avgdl"]).alias("avgdl"))
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Index(read("postings"), read("doc_stats"), corpus, config, read("terms"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+
+
+def counted_terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+
 
 def with_idf(stats: DataFrame, corpus: DataFrame) -> DataFrame:
     """Adds idf (of TF-IDF) and idf_bm25 to rows with df; the corpus is one row."""
@@ -71,18 +120,23 @@ def _corpus(doc_stats: DataFrame) -> DataFrame:
 
 
 def _capped(postings: DataFrame, c: IndexConfig) -> DataFrame:
-    """The first postings of each term by id. Spark cuts each partition's ranks before it exchanges them."""
+    """The first postings of each term by id, all of them if the cap is None.
+
+    Spark cuts each partition's ranks before it exchanges them.
+    """
+    if c.max_postings_per_term is None:
+        return postings
     rank = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
     return postings.withColumn("_r", rank).filter(F.col("_r") <= c.max_postings_per_term).drop("_r")
 
 
 def analyzed(docs: DataFrame, c: IndexConfig, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tokens)"""
-    return docs.select(F.col(id).alias("doc_id"), process(F.col(text), c.text).alias("tokens"))
+    return dealt(docs.select(F.col(id), F.col(text))).select(F.col(id).alias("doc_id"), process(F.col(text), c.text).alias("tokens"))
 
 
-def build_index(docs: DataFrame, c: IndexConfig = IndexConfig(), id: str = "doc_id", text: str = "text", positions: bool = False, terms: DataFrame | None = None) -> Index:
-    """The tables of a corpus. With ``terms``, postings of those terms only: others are dropped before any exchange.
+def build_index(docs: DataFrame, c: IndexConfig = IndexConfig(), id: str = "doc_id", text: str = "text", positions: bool = False, once: bool = False) -> Index:
+    """The tables of a corpus. ``once`` keeps the counted tokens as files, so that no text is analysed for each table.
 
     A document's length counts all its tokens, also those below the least frequency or beyond the cap.
     """
@@ -95,11 +149,36 @@ def build_index(docs: DataFrame, c: IndexConfig = IndexConfig(), id: str = "doc_
         tokens = rows.select("doc_id", dl, F.posexplode_outer("tokens").alias("pos", "term"))
     else:
         tokens = rows.select("doc_id", dl, F.explode_outer("tokens").alias("term"))
-    tokens = tokens.filter(F.col("term").isNotNull())
-    if terms is not None:
-        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
     kinds = [F.count("*").alias("tf"), F.max("dl").alias("dl"), *([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])]
-    postings = tokens.groupBy("term", "doc_id").agg(*kinds)
+    if once:  # a document without a token is a row without a term; rows that share an id are one document
+        postings = kept(tokens.groupBy("term", "doc_id").agg(*kinds))
+        stats = postings.groupBy("doc_id").agg(F.max("dl").alias("term_count"), F.count("term").alias("unique_terms"))
+        postings = postings.filter(F.col("term").isNotNull())
+    else:
+        postings = tokens.filter(F.col("term").isNotNull()).groupBy("term", "doc_id").agg(*kinds)
     if c.min_term_frequency > 1:
         postings = postings.filter(F.col("tf") >= c.min_term_frequency)
     return Index(_capped(postings, c), stats, _corpus(stats), c)
+
+
+def matched_index(docs: DataFrame, terms: DataFrame, c: IndexConfig, id: str = "doc_id", text: str = "text") -> Index:
+    """The index of the terms given, from one analysis of each text: what a batch of queries needs without a stored index.
+
+    Each document leaves its length and its tokens that are asked for, which are kept as files. Up to ``MOST_TERMS``
+    terms are looked up as values; of more, the document's tokens are joined with them.
+    """
+    c.validate()
+    rows = analyzed(docs, c, id, text)
+    asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(asked) > MOST_TERMS:
+        whole = build_index(docs, c, id, text, once=True)
+        return Index(whole.postings.join(terms.select("term").distinct(), "term", "left_semi"), whole.doc_stats, whole.corpus, c)
+    hits = F.filter("tokens", lambda t: t.isin(asked)) if asked else F.array().cast("array<string>")
+    found = kept(rows.select("doc_id", F.size("tokens").cast("long").alias("term_count"), hits.alias("hits")))
+    postings = found.select("doc_id", F.col("term_count").alias("dl"), F.explode("hits").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    if c.min_term_frequency > 1:
+        postings = postings.filter(F.col("tf") >= c.min_term_frequency)
+    stats = found.select("doc_id", "term_count")
+    one = _corpus(stats).first()  # one row, as literals, so that no plan counts it again
+    corpus = docs.sparkSession.range(1).select(F.lit(one["n_docs"]).alias("n_docs"), F.lit(one["avgdl"]).alias("avgdl"))
+    return Index(_capped(postings, c), stats, corpus, c)

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from quern.config import BM25Config, IndexConfig
 from quern.functions.text import process
-from quern.operators.index import Index, build_index, with_idf
+from quern.operators.index import MOST_TERMS, Index, _bucket, matched_index, with_idf
+from quern.operators.store import by_metadata
 
 
 def query_terms(queries: DataFrame, c: IndexConfig, id: str = "query_id", text: str = "text") -> DataFrame:
@@ -24,10 +25,21 @@ def query_terms(queries: DataFrame, c: IndexConfig, id: str = "query_id", text:
 
 def _hits(index: Index, terms: DataFrame) -> DataFrame:
     """Postings of the query terms with df and idf; statistics are of these terms only, over all documents."""
-    own = index.only(terms.select("term").distinct()).postings.select("term", "doc_id", "tf", "dl")
-    # postings are dealt by term when they are capped: counting beside them saves computing them twice for a join
-    counted = own.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    return with_idf(counted, index.corpus).join(terms, "term")
+    if index.terms is None:
+        own = index.only(terms.select("term").distinct()).postings.select("term", "doc_id", "tf", "dl")
+        # postings are dealt by term when they are capped: counting beside them saves computing them twice for a join
+        counted = own.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+        return with_idf(counted, index.corpus).join(terms, "term")
+    postings, stats = index.postings, index.terms
+    asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(asked) <= MOST_TERMS:  # by value, so that only the terms' folders and row groups are read
+        buckets = sorted({r["b"] for r in terms.select(_bucket().alias("b")).distinct().collect()})
+        postings = postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+        stats = stats.filter(F.col("term").isin(asked))
+        weighed = F.broadcast(with_idf(stats.drop("bucket"), index.corpus).join(terms, "term"))  # MOST_TERMS terms at most
+    else:
+        weighed = with_idf(stats.drop("bucket"), index.corpus).join(terms, "term")
+    return postings.select("term", "doc_id", "tf", "dl").join(weighed, "term")
 
 
 def _candidates(scored: DataFrame) -> DataFrame:
@@ -46,18 +58,16 @@ def finish(scored: DataFrame, c: IndexConfig) -> DataFrame:
     return ranked.filter(F.col("rank") <= c.max_results).select("query_id", "rank", "doc_id", score.alias("score"), "total_results")
 
 
-def _rank(index: Index, queries: DataFrame, weight: Column, start: float, lengths: bool, id: str, text: str) -> DataFrame:
-    terms = query_terms(queries, index.config, id, text)
-    hits = _hits(index, terms)
+def _scored(index: Index, queries: DataFrame, weight: Column, start: float, lengths: bool, id: str, text: str) -> DataFrame:
+    hits = _hits(index, query_terms(queries, index.config, id, text))
     if lengths:
         hits = index.with_norm(hits, "dl")  # a posting carries its document's length: no join with the documents
-    scored = hits.groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("matched"), (F.sum(weight) + start).alias("score"))
-    return finish(_candidates(scored), index.config)
+    return _candidates(hits.groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("matched"), (F.sum(weight) + start).alias("score")))
 
 
 def tfidf(index: Index, queries: DataFrame, id: str = "query_id", text: str = "text") -> DataFrame:
     weight = F.col("tf") * F.col("idf") * F.log1p(F.col("qtf").cast("double"))
-    return _rank(index, queries, weight, 0.0, False, id, text)
+    return finish(_scored(index, queries, weight, 0.0, False, id, text), index.config)
 
 
 def bm25(index: Index, queries: DataFrame, id: str = "query_id", text: str = "text") -> DataFrame:
@@ -66,11 +76,11 @@ def bm25(index: Index, queries: DataFrame, id: str = "query_id", text: str = "te
     if not isinstance(c, BM25Config):
         raise TypeError("bm25 needs an index with a BM25Config")
     tf = F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * F.col("norm"))
-    return _rank(index, queries, F.col("idf_bm25") * tf * F.log1p(F.col("qtf").cast("double")), c.delta, True, id, text)
+    return finish(_scored(index, queries, F.col("idf_bm25") * tf * F.log1p(F.col("qtf").cast("double")), c.delta, True, id, text), c)
 
 
 def bm25_tfidf(index: Index, queries: DataFrame, id: str = "query_id", text: str = "text") -> DataFrame:
-    return _rank(index, queries, F.col("tf") * F.col("idf_bm25") * F.col("qtf"), 0.0, False, id, text)
+    return finish(_scored(index, queries, F.col("tf") * F.col("idf_bm25") * F.col("qtf"), 0.0, False, id, text), index.config)
 
 
 METHODS = {"tfidf": tfidf, "bm25": bm25, "bm25_tfidf": bm25_tfidf}
@@ -78,8 +88,18 @@ METHODS = {"tfidf": tfidf, "bm25": bm25, "bm25_tfidf": bm25_tfidf}
 
 def search(docs: DataFrame, queries: DataFrame, c: IndexConfig, method: str = "bm25", doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """Ranks without a stored index: only the queries' terms are counted, in one pass over the documents."""
-    terms = query_terms(queries, c, query_id, text).select("term").distinct()
-    return METHODS[method](build_index(docs, c, doc_id, text, terms=terms), queries, query_id, text)
+    terms = query_terms(queries, c, query_id, text)
+    return METHODS[method](matched_index(docs, terms, c, doc_id, text), queries, query_id, text)
+
+
+def diagnostics(index: Index, queries: DataFrame, id: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, query_terms_count, candidate_docs) of every query: its different terms, and the documents compared."""
+    terms = query_terms(queries, index.config, id, text)
+    found = _candidates(_hits(index, terms).groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("matched")))
+    n_docs = found.groupBy("query_id").agg(F.count("*").alias("candidate_docs"))
+    n_terms = terms.groupBy("query_id").agg(F.count("*").alias("query_terms_count"))
+    every = queries.select(F.col(id).alias("query_id")).join(n_terms, "query_id", "left").join(n_docs, "query_id", "left")
+    return every.na.fill(0, ["query_terms_count", "candidate_docs"])
 
 
 def normalized_tf(index: Index) -> DataFrame:
@@ -98,4 +118,10 @@ def average_score(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("average_score"))
 
 
-__all__ = ["average_score", "bm25", "bm25_tfidf", "finish", "normalized_tf", "query_terms", "search", "tfidf", "top_k"]
+def with_metadata(results: DataFrame, docs: DataFrame, wanted: dict[str, str], id: str = "doc_id", metadata: str = "metadata") -> DataFrame:
+    """The results whose document has these values; ranks and ``total_results`` stay those of the whole result."""
+    found = by_metadata(docs.select(F.col(id).alias("doc_id"), F.col(metadata)), wanted, metadata).select("doc_id")
+    return results.join(found, "doc_id", "left_semi").select(*results.columns)
+
+
+__all__ = ["average_score", "bm25", "bm25_tfidf", "diagnostics", "finish", "normalized_tf", "query_terms", "search", "tfidf", "top_k", "with_metadata"]

@@ -95,3 +95,38 @@ def test_settings():
         VectorConfig(metric="hamming").validate()
     with pytest.raises(ConfigError):
         BM25Config(b=2).validate()
+
+
+@pytest.mark.parametrize("c", [BM25Config(), BM25Config(min_term_frequency=2, max_postings_per_term=2), BM25Config(max_postings_per_term=None)])
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_a_stored_index_ranks_alike(spark, tmp_path, monkeypatch, c, most):
+    """With terms looked up by value, and joined; changed and pruned after it was read."""
+    monkeypatch.setattr(R, "MOST_TERMS", most)
+    monkeypatch.setattr(I, "MOST_TERMS", most)
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    queries = spark.createDataFrame(QUERIES, "query_id long, text string")
+    built = I.build_index(docs, c, once=True)
+    built.save(f"file://{tmp_path}/ix")
+    ix = I.Index.load(spark, f"file://{tmp_path}/ix")
+    assert ix.config == c
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for method in R.METHODS:
+        assert rows(R.METHODS[method](ix, queries)) == rows(R.search(docs, queries, c, method)) == rows(R.METHODS[method](I.build_index(docs, c), queries))
+    assert rows(R.diagnostics(ix, queries)) == rows(R.diagnostics(built, queries))
+    assert rows(ix.term_stats()) == rows(built.term_stats()) and rows(ix.doc_lengths()) == rows(I.build_index(docs, c).doc_lengths())
+    less = ix.remove(spark.createDataFrame([(5,)], "doc_id long"))
+    assert rows(less.term_stats()) == rows(I.build_index(docs.filter("doc_id <> 5"), c).term_stats()) or c.max_postings_per_term == 2
+    top = ix.prune_vocabulary(2)
+    assert {r.term for r in top.term_stats().collect()} == {r.term for r in built.frequent_terms(2).collect()} == {r.term for r in top.postings.collect()}
+
+
+def test_results_by_metadata(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    found = R.search(docs, spark.createDataFrame(QUERIES, "query_id long, text string"), BM25Config())
+    facts = docs.select("doc_id", F.create_map(F.lit("odd"), (F.col("doc_id") % 2 == 1).cast("string")).alias("metadata"))
+    kept = R.with_metadata(found, facts, {"odd": "true"}).collect()
+    whole = {(r.query_id, r.doc_id): r for r in found.collect()}
+    assert kept and all(r.doc_id % 2 == 1 and whole[r.query_id, r.doc_id] == r for r in kept)
+    assert [r.doc_id for r in R.top_k(found, 1).orderBy("query_id").collect()] == [r.doc_id for r in found.filter("rank = 1").orderBy("query_id").collect()]

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from quern.config import BM25Config, HybridConfig, VectorConfig
+from quern.config import BM25Config, HybridConfig, RetrievalError, VectorConfig
 from quern.functions.columns import bind
+from quern.operators.index import Index
 from quern.operators.knn import knn
-from quern.operators.rank import search
-
+from quern.operators.rank import bm25, search
 
 
 def _query() -> WindowSpec:
@@ -94,9 +94,30 @@ def finish(rows: DataFrame, c: HybridConfig) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= c.top_k)
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, c: HybridConfig, sparse: BM25Config = BM25Config(), dense: VectorConfig = VectorConfig()) -> DataFrame:
-    """docs (doc_id, text), vectors (doc_id, embedding), queries (query_id, text, embedding), fused on doc_id."""
-    s = search(docs, queries, sparse, "bm25")
+def paired(docs: DataFrame, vectors: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Documents with their vectors, as both are ingested together; a document or a vector alone is an error."""
+    n = docs.select(id).join(vectors.select(id), id, "full_outer").count()
+    both = docs.join(vectors, id)
+    held = both.count()
+    if n != held or docs.count() != held:
+        raise RetrievalError(f"{n - held} of {n} documents and vectors are without the other, or ids repeat")
+    return both
+
+
+def stats(docs: DataFrame, vectors: DataFrame, id: str = "doc_id") -> DataFrame:
+    """One row: sparse_documents (the number of documents), dense_vectors, mapping_count (ids that have both)."""
+    one = docs.agg(F.count("*").alias("sparse_documents")).crossJoin(F.broadcast(vectors.agg(F.count("*").alias("dense_vectors"))))
+    return one.crossJoin(F.broadcast(docs.join(vectors.select(id).distinct(), id, "left_semi").agg(F.count("*").alias("mapping_count"))))
+
+
+def retrieve(
+    docs: DataFrame, vectors: DataFrame, queries: DataFrame, c: HybridConfig, sparse: BM25Config = BM25Config(), dense: VectorConfig = VectorConfig(), index: Index | None = None
+) -> DataFrame:
+    """docs (doc_id, text), vectors (doc_id, embedding), queries (query_id, text, embedding), fused on doc_id.
+
+    A stored index of the documents, if given, takes the place of their analysis and of ``sparse``.
+    """
+    s = search(docs, queries, sparse, "bm25") if index is None else bm25(index, queries)
     v = VectorConfig(dense.max_vectors, dense.dimension, dense.normalize, c.top_k_dense, dense.threshold, dense.metric)
     d = knn(vectors, queries, v, "doc_id").withColumnRenamed("vec_id", "doc_id")
     rows = fuse(s, d, c)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quern.operators.running import running_total
 
 
 def counters(rows: DataFrame, name: str, delta: str | None = None) -> DataFrame:
@@ -17,8 +18,8 @@ def gauges(rows: DataFrame, name: str, value: str, ts: str, id: str) -> DataFram
 
 
 def running_gauge(rows: DataFrame, name: str, delta: str, ts: str, id: str) -> DataFrame:
-    order = Window.partitionBy(name).orderBy(ts, id).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("value", F.sum(delta).over(order))
+    """The value of each metric after each change. Changes of one hour are sorted together, not those of a metric."""
+    return running_total(rows, name, F.date_trunc("hour", F.col(ts)), [F.asc_nulls_first(ts), F.col(id)], F.col(delta), "value")
 
 
 def histograms(rows: DataFrame, name: str, value: str, quantiles: bool = False) -> DataFrame:

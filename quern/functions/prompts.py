@@ -44,13 +44,17 @@ def fill(template: str | Column, values: Mapping[str, Column], missing: str = "e
         out = F.lit(template)
     else:
         out = template
+    if missing == "empty":  # the template's own variables, before values with braces come in
+        names = "|".join(re.escape(v) for v in values)
+        others = "(?!(?:" + names + r")\})" if values else ""
+        out = F.regexp_replace(out, r"\{" + others + r"[^}]+\}", "")
     for name, value in values.items():
         place, text = "{" + name + "}", value.cast("string")
         if missing == "error":
             text = F.coalesce(text, F.raise_error(F.lit(f"no value for {name}")).cast("string"))
         text = F.coalesce(text, F.lit("" if missing == "empty" else place))
         out = F.replace(out, F.lit(place), text)
-    return F.regexp_replace(out, VARIABLE, "") if missing == "empty" else out
+    return out
 
 
 def few_shot(prefix: str, examples: Sequence[Mapping[str, str]], example: str, values: Mapping[str, Column], suffix: str = "", separator: str = "") -> Column:
@@ -81,10 +85,53 @@ def pipeline(steps: Sequence[str], values: Mapping[str, Column]) -> Column:
     return out
 
 
+def few_shot_text(prefix: str, examples: Sequence[Mapping[str, str]], example: str, suffix: str = "", separator: str = "") -> str:
+    """A few-shot prompt without its input: prefix, filled examples and suffix."""
+    gap = separator + "\n\n" if separator else ""
+    filled = [re.sub(VARIABLE, lambda m: e.get(m[1], m[0]), example) for e in examples]  # noqa: B023
+    return (prefix + "\n\n" if prefix else "") + gap.join(filled) + gap + ("\n\n" + suffix if suffix else "")
+
+
+def pipeline_text(steps: Sequence[str]) -> str:
+    return "\n\n---\n\n".join(f"Step {i + 1}:\n{x}" for i, x in enumerate(steps))
+
+
+def _rows(*parts: Column) -> Column:
+    """The messages of a group in order; to be used in an aggregation."""
+    return F.sort_array(F.collect_list(F.struct(*parts)))
+
+
+def chat_text(turn: Column, role: Column, text: Column) -> Column:
+    """Of a group of messages: a paragraph for each, with its role, in order of turns."""
+    line = F.concat(F.lit("["), role, F.lit("]: "), text, F.lit("\n\n"))
+    return F.array_join(F.transform(_rows(turn.alias("t"), line.alias("l")), lambda x: x["l"]), "")
+
+
+def chat_json(turn: Column, role: Column, text: Column) -> Column:
+    """Of a group of messages: {"messages": [{"role", "content"}, ...]} in order of turns, with escapes."""
+    messages = F.transform(_rows(turn.alias("t"), role.alias("role"), text.alias("content")), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return F.to_json(F.struct(messages.alias("messages")))
+
+
 def mock_completion(prompt: Column) -> Column:
     return F.concat(F.lit("Mock OpenAI response to: "), prompt)
 
 
+def mock_stream(prompt: Column) -> Column:
+    """What a model says in pieces of five characters."""
+    return F.concat(F.lit("Mock streaming OpenAI response to: "), prompt)
+
+
+#: What a model says to a conversation in pieces of three characters.
+STREAMED_CHAT = "Mock streaming OpenAI chat response"
+
+
+def mock_chat(turn: Column, role: Column, text: Column) -> Column:
+    """Of a group of messages: the answer names all of them; a backslash and an n stand between."""
+    line = F.concat(F.lit("["), role, F.lit("] "), text, F.lit("\\n"))
+    return F.concat(F.lit("Mock OpenAI chat response to: "), F.array_join(F.transform(_rows(turn.alias("t"), line.alias("l")), lambda x: x["l"]), ""))
+
+
 def chunks(text: Column, n: int) -> Column:
     """The text in pieces of n characters, as a stream gives them."""
     pieces = F.transform(F.sequence(F.lit(1), F.length(text), F.lit(n)), lambda i: F.substring(text, i, F.lit(n)))
@@ -107,6 +154,15 @@ def is_final(text: Column, stop: str = "Final Answer:") -> Column:
 MODELS = tuple("gpt-4 gpt-4-turbo-preview gpt-4-32k gpt-3.5-turbo gpt-3.5-turbo-16k text-davinci-003 text-davinci-002 text-curie-001 text-babbage-001 text-ada-001".split())
 
 
+# What the known models can do.
+CAPABILITIES = {"completion": True, "chat": True, "streaming": True, "function_calling": True, "multimodal": False}
+
+
+def can(capability: Column) -> Column:
+    """Whether a model has a capability; false for one that is not known."""
+    return F.coalesce(*[F.when(capability == k, F.lit(v)) for k, v in CAPABILITIES.items()], F.lit(False))
+
+
 def is_model_supported(name: Column) -> Column:
     return name.isin(*MODELS)
 

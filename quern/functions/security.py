@@ -6,10 +6,11 @@ import hashlib
 import hmac as _hmac
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the form of an e-mail address.
 EMAIL = r"\A[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 
 
@@ -54,10 +55,10 @@ def derive_key(password: Column, salt: Column) -> Column:
 def hmac_sha256(key: bytes, x: Column) -> Column:
     """No built-in function has it."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield b.map(lambda s: None if s is None else _hmac.new(key, s.encode(), hashlib.sha256).hexdigest())
+            yield pa.array([None if s is None else _hmac.new(key, s.encode(), hashlib.sha256).hexdigest() for s in b.to_pylist()], pa.string())
 
     return run(x)
 
@@ -75,6 +76,14 @@ def random_string(n: int) -> Column:
     return F.randstr(n)
 
 
+def csrf_token() -> Column:
+    return random_string(32)
+
+
+def is_csrf_token(x: Column) -> Column:
+    return F.coalesce(F.octet_length(x) >= 16, F.lit(False))
+
+
 def new_id(prefix: str = "id") -> Column:
     return F.concat(F.lit(prefix + "_"), F.uuid())
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from quern.config import IndexConfig, MemoryConfig
+from quern.config import BM25Config, IndexConfig, MemoryConfig
+from quern.functions import json as J
 from quern.functions import prompts as P
 from quern.functions import security as X
 from quern.functions.text import token_count
@@ -20,7 +20,8 @@ from quern.operators import store as D
 from quern.operators.store import Condition, Query
 from quern.plans import sqltext as S
 from quern.plans.catalog import query
-from quern.sources.tables import table
+from quern.sources.collections import Collections, load_prompt
+from quern.sources.tables import new_folder, table
 from quern.streaming import ingest as G
 
 # The store
@@ -92,13 +93,10 @@ def store_field_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", D.field_text("string", c("event_type")).alias("kind"), D.field_text("double", c("value")).alias("value"), D.field_text("timestamp", c("ts")).alias("ts"), D.field_text("boolean", c("value") > 50).alias("high"))
 
 
-@query("store_collections")
+@query("store_collections", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def store_collections(spark, sf_dir):
     """Saves, backs up and reads a collection again, in the shared folder."""
-    from quern.sources.collections import Collections
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root}/collections-{uuid.uuid4().hex}"
+    base = new_folder(spark, "collections")
     s = Collections(spark, f"{base}/live")
     s.create("nation")
     s.save("nation", table(spark, sf_dir, "nation"))
@@ -128,7 +126,7 @@ _NOW = "2024-01-15 00:00:00"
 @query("memory_age", f"SELECT event_id FROM events QUALIFY max(CASE WHEN epoch(TIMESTAMP '{_NOW}') - floor(epoch(ts)) <= 3600 * 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1")
 def memory_age(spark, sf_dir):
     c = replace(MemoryConfig(), max_age_seconds=3600 * 200)
-    return M.drop_aged(table(spark, sf_dir, "events"), c, _NOW, "user_id").select("event_id")
+    return M.drop_aged(table(spark, sf_dir, "events"), c, _NOW).select("event_id")
 
 
 _NAME = "CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI' WHEN 'system' THEN 'System' ELSE 'Human' END"
@@ -219,7 +217,7 @@ def metric_prometheus_histogram(spark, sf_dir):
     return N.prometheus("histogram", N.histograms(table(spark, sf_dir, "events"), "event_type", "value"))
 
 
-@query("metric_json")
+@query("metric_json", "SELECT event_type AS name, '{\"value\":' || count(*) || '}' AS json FROM events GROUP BY 1")
 def metric_json(spark, sf_dir):
     return N.as_json(N.counters(table(spark, sf_dir, "events"), "event_type"))
 
@@ -251,17 +249,42 @@ def prompt_few_shot(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", shot.alias("prompt"))
 
 
-@query("prompt_variables", "SELECT doc_id, 'a,b c' AS names FROM documents")
+@query("prompt_variables", r"SELECT page_id, list_sort(list_distinct(regexp_extract_all('{' || page_id || '} and {b c} ' || html || ' {b c}', '\{([^}]+)\}', 1))) AS names FROM pages")
 def prompt_variables(spark, sf_dir):
-    t = F.concat(F.lit("{a} and {b c} and {a} of "), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(P.variables(t), ",").alias("names"))
+    t = F.concat(F.lit("{"), F.col("page_id").cast("string"), F.lit("} and {b c} "), "html", F.lit(" {b c}"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(P.variables(t)).alias("names"))
 
 
 @query("prompt_chat", "SELECT conv_id, string_agg('[' || role || ']: ' || text || E'\\n\\n', '' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def prompt_chat(spark, sf_dir):
-    line = F.concat(F.lit("["), "role", F.lit("]: "), "text", F.lit("\n\n"))
-    rows = F.sort_array(F.collect_list(F.struct("turn", line.alias("l"))))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["l"]), "").alias("prompt"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(P.chat_text(*map(F.col, ("turn", "role", "text"))).alias("prompt"))
+
+
+@query("prompt_chat_json", "SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
+def prompt_chat_json(spark, sf_dir):
+    """Written as JSON and parsed again."""
+    j = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(P.chat_json(*map(F.col, ("turn", "role", "text"))).alias("j"))
+    m = F.from_json("j", "messages array<struct<role:string,content:string>>")["messages"]
+    return j.select("conv_id", m["role"].alias("roles"), m["content"].alias("texts"))
+
+
+@query("chat_answer", r"SELECT conv_id, 'Mock OpenAI chat response to: ' || string_agg('[' || role || '] ' || text || '\n', '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id")
+def chat_answer(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(P.mock_chat(*map(F.col, ("turn", "role", "text"))).alias("answer"))
+
+
+@query("prompt_texts", "SELECT item_id, E'Head\\n\\nQ: a A: b---\\n\\n\\n\\nTail' AS shots, E'Step 1:\\nOne {x}\\n\\n---\\n\\nStep 2:\\nTwo' AS steps FROM benchmark")
+def prompt_texts(spark, sf_dir):
+    shots, steps = P.few_shot_text("Head", [{"q": "a", "a": "b"}], "Q: {q} A: {a}", "Tail", "---"), P.pipeline_text(["One {x}", "Two"])
+    return table(spark, sf_dir, "benchmark").select("item_id", F.lit(shots).alias("shots"), F.lit(steps).alias("steps"))
+
+
+@query("prompt_loaded", "SELECT item_id, 'From a file: ' || text AS prompt FROM benchmark")
+def prompt_loaded(spark, sf_dir):
+    path = new_folder(spark, "prompt")
+    spark.range(1).select(F.lit("From a file: {text}")).coalesce(1).write.text(path)
+    template = load_prompt(spark, f"{path}/*.txt").rstrip("\n")
+    return table(spark, sf_dir, "benchmark").select("item_id", P.fill(template, {"text": F.col("text")}).alias("prompt"))
 
 
 @query("prompt_sanitize", r"SELECT doc_id, trim(regexp_replace(text, '\n{3,}', E'\n\n', 'g'), E' \t\n\r') AS prompt FROM documents")
@@ -269,9 +292,9 @@ def prompt_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.sanitize(F.col("text")).alias("prompt"))
 
 
-@query("prompt_pipeline", "SELECT item_id, 'Final: Step: ' || item_id || ' done' AS prompt FROM benchmark")
+@query("prompt_pipeline", "SELECT item_id, 'Final: Step: ' || item_id || ' ' || text || ' done' AS prompt FROM benchmark")
 def prompt_pipeline(spark, sf_dir):
-    out = P.pipeline(["Step: {id}", "Final: {step_1_result} done"], {"id": F.col("item_id")})
+    out = P.pipeline(["Step: {id} {text}", "Final: {step_1_result} done"], {"id": F.col("item_id"), "text": F.col("text")})
     return table(spark, sf_dir, "benchmark").select("item_id", out.alias("prompt"))
 
 
@@ -281,6 +304,38 @@ def chain_llm(spark, sf_dir):
     return chain.run(table(spark, sf_dir, "benchmark")).select("item_id", "answer")
 
 
+@query("chain_llm_braces", "SELECT item_id, 'Mock OpenAI response to: Repeat keep {this} and {} ' || trim(text, E' \\t\\n\\r\\v\\f') AS answer FROM benchmark")
+def chain_llm_braces(spark, sf_dir):
+    """Braces that a text has are no variables of the template; one that has no value is empty."""
+    b = table(spark, sf_dir, "benchmark").withColumn("text", F.concat(F.lit("keep {this} and {} "), F.btrim("text", F.lit(" \t\n\r\x0b\x0c"))))
+    return C.LLMChain("Repeat {text}{nothing}", "answer").run(b).select("item_id", "answer")
+
+
+def _failing(x):
+    """A model that has no answer for texts of an odd number of characters."""
+    return F.when(F.length(x) % 2 == 0, P.mock_completion(x))
+
+
+_CHAIN = [C.LLMChain("{text}", "a", _failing), C.LLMChain("{text}!", "a", lambda x: F.concat(F.lit("then "), x))]
+
+
+@query("chain_stop_on_error", "SELECT item_id, CASE WHEN len(text) % 2 = 0 THEN 'then ' || trim(text || '!', E' \\t\\n\\r\\v\\f') END AS a, CASE WHEN len(text) % 2 = 1 THEN 'Chain 0 failed' END AS error FROM benchmark")
+def chain_stop_on_error(spark, sf_dir):
+    return C.sequential(table(spark, sf_dir, "benchmark"), _CHAIN, stop_on_error=True).select("item_id", "a", "error")
+
+
+@query("chain_go_on", "SELECT item_id, 'then ' || trim(text || '!', E' \\t\\n\\r\\v\\f') AS a, CASE WHEN len(text) % 2 = 1 THEN 'Chain 0 failed' END AS error FROM benchmark")
+def chain_go_on(spark, sf_dir):
+    return C.sequential(table(spark, sf_dir, "benchmark"), _CHAIN, stop_on_error=False).select("item_id", "a", "error")
+
+
+@query("chain_registry", "SELECT item_id, 'Mock OpenAI response to: ' || item_id AS answer, 'llm,sequential' AS kinds, 'openai' AS providers FROM benchmark")
+def chain_registry(spark, sf_dir):
+    chain = C.CHAINS.make("llm", "{item_id}", "answer", C.MODELS.make("openai"))
+    out = chain.run(table(spark, sf_dir, "benchmark"))
+    return out.select("item_id", "answer", F.lit(",".join(C.CHAINS.names())).alias("kinds"), F.lit(",".join(C.MODELS.names())).alias("providers"))
+
+
 @query("chain_sequential", "SELECT item_id, 'Mock OpenAI response to: 2 Mock OpenAI response to: 1 ' || item_id || ' of ' || item_id AS answer FROM benchmark")
 def chain_sequential(spark, sf_dir):
     first, second = C.LLMChain("1 {item_id}", "draft"), C.LLMChain("2 {draft} of {item_id}", "answer")
@@ -293,17 +348,38 @@ def model_chunks(spark, sf_dir):
     return pieces.select("item_id", (F.col("i").cast("long") * 5 + 1).alias("at"), "chunk")
 
 
+@query("model_stream", "SELECT item_id, list_transform(range(1, len(t) + 1, 5), lambda i: substring(t, i, 5)) AS pieces FROM (SELECT item_id, 'Mock streaming OpenAI response to: ' || text AS t FROM benchmark)")
+def model_stream(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", P.chunks(P.mock_stream(F.col("text")), 5).alias("pieces"))
+
+
+@query("chat_stream", "SELECT item_id, list_transform(range(1, len(t) + 1, 3), lambda i: substring(t, i, 3)) AS pieces FROM (SELECT item_id, 'Mock streaming OpenAI chat response' AS t FROM benchmark)")
+def chat_stream(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", P.chunks(F.lit(P.STREAMED_CHAT), 3).alias("pieces"))
+
+
+@query("model_support", "SELECT item_id, item_id % 3 < 2 AS supported, item_id % 4 < 3 AS able FROM benchmark")
+def model_support(spark, sf_dir):
+    i = F.col("item_id")
+    name = F.when(i % 3 == 0, "gpt-4").when(i % 3 == 1, "text-ada-001").otherwise("gpt-unknown")
+    what = F.when(i % 4 == 0, "chat").when(i % 4 == 1, "streaming").when(i % 4 == 2, "completion").otherwise("multimodal")
+    return table(spark, sf_dir, "benchmark").select("item_id", P.is_model_supported(name).alias("supported"), P.can(what).alias("able"))
+
+
 @query("model_usage", "SELECT item_id, ((strlen(text) + 3) // 4)::BIGINT AS prompt_tokens, ((strlen('Mock OpenAI response to: ' || text) + 3) // 4)::BIGINT AS completion_tokens FROM benchmark")
 def model_usage(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "benchmark").select("item_id", token_count(t).alias("prompt_tokens"), token_count(P.mock_completion(t)).alias("completion_tokens"))
 
 
-@query("agent_actions", "SELECT item_id, 'search' AS tool, item_id::VARCHAR AS input, item_id % 5 = 0 AS final FROM benchmark")
+@query("agent_actions", r"SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN role ELSE '' END AS tool, CASE WHEN turn % 4 < 3 THEN regexp_replace(text, '\].*', '', 's') ELSE '' END AS input, turn % 5 = 0 AS final FROM conversations")
 def agent_actions(spark, sf_dir):
-    end = F.when(F.col("item_id") % 5 == 0, "Final Answer: x").otherwise("")
-    said = F.concat(F.lit("Thought: look\nAction: search ["), F.col("item_id").cast("string"), F.lit("]\n"), end)
-    return table(spark, sf_dir, "benchmark").select("item_id", P.action(said).alias("a"), P.is_final(said).alias("final")).select("item_id", "a.tool", "a.input", "final")
+    """With brackets, without, and without an action."""
+    end, turn = F.when(F.col("turn") % 5 == 0, "Final Answer: x").otherwise(""), F.col("turn")
+    act = F.when(turn % 4 < 3, F.concat(F.lit("Action: "), "role", F.lit(" ["), "text", F.lit("]\n"))).otherwise("no more")
+    said = F.concat(F.lit("Thought: look\n"), act, end)
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", P.action(said).alias("a"), P.is_final(said).alias("final"))
+    return found.select("conv_id", "turn", "a.tool", "a.input", "final")
 
 
 @query("agent_tools", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'length ' || length(text) ELSE 'Error: Tool not found: none' END AS observation FROM benchmark")
@@ -312,10 +388,12 @@ def agent_tools(spark, sf_dir):
     return C.tools(b, {"length": lambda x: F.concat(F.lit("length "), F.length(x).cast("string"))}, argument="text").select("item_id", "observation")
 
 
-@query("enum_names", "SELECT conv_id, turn, CASE WHEN role IN ('system', 'user', 'assistant', 'function', 'tool') THEN role ELSE 'user' END AS role, 'NORMAL' AS priority, 'PENDING' AS status FROM conversations")
+@query("enum_names", "SELECT conv_id, turn, CASE WHEN role IN ('system', 'user', 'assistant', 'function', 'tool') THEN role ELSE 'user' END AS role, ['LOW', 'NORMAL', 'HIGH', 'CRITICAL', 'NORMAL'][turn % 5 + 1] AS priority, ['PENDING', 'RUNNING', 'COMPLETED', 'FAILED', 'CANCELLED', 'PENDING'][turn % 6 + 1] AS status FROM conversations")
 def enum_names(spark, sf_dir):
-    r = F.col("role")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.known_role(r).alias("role"), P.priority_name(r).alias("priority"), P.status_name(r).alias("status"))
+    """Every known name and one that is not."""
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("turn") % len(names) + 1).cast("int"))
+    p, s = pick("LOW", "NORMAL", "HIGH", "CRITICAL", "other"), pick("PENDING", "RUNNING", "COMPLETED", "FAILED", "CANCELLED", "other")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.known_role(F.col("role")).alias("role"), P.priority_name(p).alias("priority"), P.status_name(s).alias("status"))
 
 
 # Security, logs, roles
@@ -336,7 +414,10 @@ def security_hashes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.sha256(n).alias("hash"), salted.alias("salted"), X.verify_password(n, salt, salted).alias("verified"))
 
 
-@query("security_hmac")
+_PAD = lambda x: "".join(f"{b ^ x:02X}" for b in b"key".ljust(64, b"\0"))
+
+
+@query("security_hmac", f"SELECT c_custkey, sha256(unhex('{_PAD(0x5C)}') || unhex(sha256(unhex('{_PAD(0x36)}') || encode(c_name)))) AS hmac FROM customer")
 def security_hmac(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.hmac_sha256(b"key", F.col("c_name")).alias("hmac"))
 
@@ -357,9 +438,9 @@ def audit_range(spark, sf_dir):
     return A.logs(table(spark, sf_dir, "events"), 5, "2024-01-03 00:00:00", "2024-01-20 00:00:00").select("event_id")
 
 
-@query("audit_search", "SELECT event_id FROM events WHERE contains(event_type, 'c') OR contains(props, '7')")
+@query("audit_search", "SELECT event_id FROM events WHERE contains(event_type, 'k') OR contains(props, 'k')")
 def audit_search(spark, sf_dir):
-    return A.search_logs(table(spark, sf_dir, "events"), "c", ("event_type",)).select("event_id").union(A.search_logs(table(spark, sf_dir, "events"), "7", ("props",)).select("event_id")).distinct()
+    return A.search_logs(table(spark, sf_dir, "events"), "k", ("event_type", "props")).select("event_id")
 
 
 @query("audit_failed_logins", "SELECT event_id FROM events WHERE event_type = 'click' AND value < 10")
@@ -387,19 +468,181 @@ def sessions_valid(spark, sf_dir):
     return A.sessions(table(spark, sf_dir, "events"), "2024-01-10 00:00:00").select("event_id", "valid")
 
 
+_USERS = """(SELECT c_custkey AS user_id, c_name AS username, sha256('s' || c_mktsegment) AS password_hash, 's' AS salt, c_custkey % 7 <> 0 AS active, c_custkey % 11 = 0 AS locked FROM customer)"""
+
+
+def _users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    hashed, key = X.hash_password(F.col("c_mktsegment"), F.lit("s")), F.col("c_custkey")
+    return c.select(key.alias("user_id"), F.col("c_name").alias("username"), hashed.alias("password_hash"), F.lit("s").alias("salt"), (key % 7 != 0).alias("active"), (key % 11 == 0).alias("locked"))
+
+
+@query("users_created", f"SELECT user_id, username FROM {_USERS} UNION ALL VALUES (-2, 'new one')")
+def users_created(spark, sf_dir):
+    """A name that is taken is not created again."""
+    users = _users(spark, sf_dir)
+    new = users.limit(1).withColumns({"user_id": F.lit(-2).cast("long"), "username": F.lit("new one")})
+    return A.create(users, users.withColumn("user_id", F.lit(-1).cast("long")).unionByName(new), "username").select("user_id", "username")
+
+
+@query("users_updated", f"SELECT user_id, user_id % 5 = 0 AS locked FROM {_USERS}")
+def users_updated(spark, sf_dir):
+    users = _users(spark, sf_dir)
+    plain = users.withColumn("locked", F.lit(False))
+    changes = users.filter("user_id % 5 = 0").withColumn("locked", F.lit(True)).unionByName(users.limit(1).withColumn("username", F.lit("nobody")))
+    return A.update(plain, changes, "username").select("user_id", "locked")
+
+
+@query("users_removed", f"SELECT user_id FROM {_USERS} WHERE user_id % 5 <> 0")
+def users_removed(spark, sf_dir):
+    users = _users(spark, sf_dir)
+    return A.remove(users, users.filter("user_id % 5 = 0"), "username").select("user_id")
+
+
+@query("logins_authenticated", f"SELECT username, CASE WHEN active AND NOT locked AND user_id % 3 <> 0 THEN user_id END AS user_id, CASE WHEN active AND NOT locked AND user_id % 3 <> 0 THEN TIMESTAMP '2024-01-01 01:00:00' END AS expires_at FROM {_USERS} UNION ALL VALUES ('nobody', NULL, NULL)")
+def logins_authenticated(spark, sf_dir):
+    """Every third login has a wrong password, one an unknown name."""
+    c = table(spark, sf_dir, "customer")
+    password = F.when(F.col("c_custkey") % 3 == 0, "wrong").otherwise(F.col("c_mktsegment"))
+    logins = c.select(F.col("c_name").alias("username"), password.alias("password")).union(c.limit(1).select(F.lit("nobody"), F.lit("x")))
+    return A.authenticate(logins.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), _users(spark, sf_dir)).select("username", "user_id", "expires_at")
+
+
+@query("request_headers", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS token, c_custkey % 3 = 0 AS public, strlen(c_name) >= 16 AS csrf FROM customer")
+def request_headers(spark, sf_dir):
+    n, key = F.col("c_name"), F.col("c_custkey")
+    header = F.concat(F.when(key % 2 == 0, "Bearer ").otherwise("Basic "), n)
+    path = F.when(key % 3 == 0, "/health/now").otherwise("/private/health")
+    return table(spark, sf_dir, "customer").select("c_custkey", X.bearer(header).alias("token"), X.is_public(path, ["/health", "/login"]).alias("public"), X.is_csrf_token(n).alias("csrf"))
+
+
+@query("random_values", "SELECT c_custkey, 12 AS n, true AS differ, true AS csrf, true AS id FROM customer")
+def random_values(spark, sf_dir):
+    """What can be told of values drawn at random: their length and form."""
+    out = table(spark, sf_dir, "customer").select("c_custkey", X.random_string(12).alias("a"), X.csrf_token().alias("b"), X.new_id().alias("c"))
+    form = F.col("c").rlike(r"\Aid_[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")
+    return out.select("c_custkey", F.length("a").alias("n"), (F.col("a") != F.col("b")).alias("differ"), X.is_csrf_token(F.col("b")).alias("csrf"), form.alias("id"))
+
+
+# Configurations, collections, saved conversations
+
+
+@query("collections_lifecycle", "SELECT * FROM (VALUES ('a', true, false, true), ('b', true, false, false)) v(collection, created, again, there)")
+def collections_lifecycle(spark, sf_dir):
+    s = Collections(spark, new_folder(spark, "collections"))
+    made = {n: (s.create(n), s.create(n)) for n in ("a", "b")}
+    s.save("a", table(spark, sf_dir, "region"))
+    s.drop("b")
+    there = set(s.names())
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS collection, {x} AS created, {y} AS again, {n in there and s.is_healthy()} AS there" for n, (x, y) in made.items())
+    return spark.sql(rows)
+
+
+@query("collections_stats", "SELECT 'nation' AS collection, true AS files, true AS bytes, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM nation) AS n_names")
+def collections_stats(spark, sf_dir):
+    from quern.sources.collections import shape
+
+    s = Collections(spark, new_folder(spark, "collections"))
+    s.save("nation", table(spark, sf_dir, "nation"))
+    s.append("nation", table(spark, sf_dir, "nation").limit(0))
+    other = Collections(spark, new_folder(spark, "restored"))
+    other.restore(s.base)
+    n = shape(other.load("nation", "n_nationkey int, n_name string"))
+    return other.stats().select("collection", (F.col("files") > 0).alias("files"), (F.col("bytes") > 0).alias("bytes")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("n_names"))))
+
+
+@query("config_store", "SELECT * FROM (VALUES ('bm25', 'BM25Config', 2.0::DOUBLE), ('memory', 'MemoryConfig', 7.0)) v(id, kind, value)")
+def config_store(spark, sf_dir):
+    """Settings saved, replaced, listed, deleted and read again as their own class."""
+    s = Collections(spark, new_folder(spark, "configs"))
+    for i, c in (("bm25", BM25Config()), ("bm25", BM25Config(k1=2.0)), ("memory", MemoryConfig(max_messages=7)), ("gone", IndexConfig())):
+        s.save_config(i, c)
+    s.discard("configs", "gone")
+    found = [(i, s.config(i)) for i in s.entries("configs")]
+    assert s.config("gone") is None and found[0][1] == BM25Config(k1=2.0)
+    return spark.sql(" UNION ALL ".join(f"SELECT '{i}' AS id, '{type(c).__name__}' AS kind, CAST({getattr(c, 'k1', 0) or c.max_messages} AS DOUBLE) AS value" for i, c in found))
+
+
+@query("index_metadata_store", "SELECT 'docs / main' AS index_id, (SELECT count(*) FROM documents) AS n_docs")
+def index_metadata_store(spark, sf_dir):
+    s = Collections(spark, new_folder(spark, "indexes"))
+    n = table(spark, sf_dir, "documents").count()
+    s.put("indexes", "docs / main", {"index_id": "docs / main", "n_docs": n})
+    s.put("indexes", "other", {"index_id": "other", "n_docs": 0})
+    s.discard("indexes", "other")
+    held = [s.entry("indexes", i) for i in s.entries("indexes")]
+    return spark.sql(" UNION ALL ".join(f"SELECT '{x['index_id']}' AS index_id, {x['n_docs']}L AS n_docs" for x in held))
+
+
+@query("conversations_saved", "SELECT conv_id, turn, text FROM conversations WHERE conv_id = 3")
+def conversations_saved(spark, sf_dir):
+    path = new_folder(spark, "conversations")
+    M.save(table(spark, sf_dir, "conversations"), path)
+    return M.load(spark, path, 3).select("conv_id", "turn", "text")
+
+
+@query("memory_context_times", rf"""SELECT conv_id, string_agg('[' || {_NAME} || ']: ' || text || ' (at ' || strftime(t, '%a %b ') || lpad(day(t)::VARCHAR, 2, ' ') || strftime(t, ' %H:%M:%S %Y') || E')\n', '' ORDER BY turn) AS context FROM (SELECT *, TIMESTAMP '2024-01-08 23:30:05' + INTERVAL 1 HOUR * turn AS t FROM conversations) GROUP BY conv_id""")
+def memory_context_times(spark, sf_dir):
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-08 23:30:05").cast("timestamp")) + F.col("turn") * 3600)
+    return M.context(table(spark, sf_dir, "conversations").withColumn("at", at), ts="at")
+
+
+@query("memory_basic_summary", "SELECT conv_id, 'Summary of ' || count(*) || ' messages.' AS summary FROM conversations GROUP BY conv_id")
+def memory_basic_summary(spark, sf_dir):
+    return M.basic_summaries(table(spark, sf_dir, "conversations"))
+
+
+@query("memory_kinds", """SELECT 'buffer' AS kind, conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4
+UNION ALL SELECT 'summary', conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= count(*) OVER (PARTITION BY conv_id) % 10
+UNION ALL SELECT 'token_buffer', conv_id, turn FROM conversations QUALIFY sum((strlen(text) + 3) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 120""")
+def memory_kinds(spark, sf_dir):
+    from functools import reduce
+
+    c = table(spark, sf_dir, "conversations")
+    parts = [M.remembered(k, c, _LAST).select(F.lit(k).alias("kind"), "conv_id", "turn") for k in sorted(M.MEMORIES)]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+_GAUGE = "SELECT event_type AS name, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1"
+
+
+@query("metric_texts", f"SELECT name, 'counter{{value=' || (SELECT count(*) FROM events e WHERE e.event_type = g.name) || '}}' AS counter, printf('gauge{{value=%.2f}}', value) AS gauge FROM ({_GAUGE}) g")
+def metric_texts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    counter = N.counter_text(N.counters(e, "event_type")).withColumnRenamed("text", "counter")
+    return counter.join(N.gauge_text(N.gauges(e, "event_type", "value", "ts", "event_id")).withColumnRenamed("text", "gauge"), "name")
+
+
+@query("metric_prometheus_gauge", "SELECT name, '# HELP ' || name || E' gauge metric\\n# TYPE ' || name || E' gauge\\n' || printf(E'%s %.6f\\n\\n', name, value) AS text FROM (" + _GAUGE + ")")
+def metric_prometheus_gauge(spark, sf_dir):
+    return N.prometheus("gauge", N.gauges(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id"))
+
+
+@query("metric_prometheus_timer", "SELECT name, '# HELP ' || name || E' timer metric\\n# TYPE ' || name || E' histogram\\n' || printf(E'%s_count %d\\n%s_sum %.6f\\n\\n', name, count(*), name, sum(ns / 1e6) / 1000) AS text FROM (" + _TIMES + ") GROUP BY name")
+def metric_prometheus_timer(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ns", F.col("user_id") * 1000000 + F.col("event_id"))
+    return N.prometheus("timer", N.timers(e, "event_type", "ns"))
+
+
 # JSON
 
 
+@query("json_kinds", "SELECT event_id, ['object', 'array', 'string', 'number', 'boolean', 'null', NULL][event_id % 7 + 1] AS kind, event_id % 7 < 6 AS there FROM events")
+def json_kinds(spark, sf_dir):
+    values = ("{}", "[1]", '"x"', "1.5", "true", "null")
+    text = F.coalesce(*[F.when(F.col("event_id") % 7 == i, f'{{"a":{{"b":{v}}}}}') for i, v in enumerate(values)], F.lit('{"a":1}'))
+    return table(spark, sf_dir, "events").select("event_id", J.kind(text, "$.a.b").alias("kind"), J.contains(text, "$.a.b").alias("there"))
+
+
 @query("json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_exists(props, '$.k') AS has_k FROM events")
 def json_path(spark, sf_dir):
-    v = F.try_parse_json("props")
-    k = F.try_variant_get(v, "$.k", "long")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
+    p = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", J.at(p, "$.k", "long").alias("k"), J.contains(p, "$.k").alias("has_k"))
 
 
 @query("json_dump", "SELECT event_id, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS json FROM events")
 def json_dump(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("json"))
+    return table(spark, sf_dir, "events").select("event_id", J.dump(id=F.col("event_id"), kind=F.col("event_type")).alias("json"))
 
 
 # Streams: the batch tables read as streams, to their end
@@ -413,26 +656,27 @@ def _streamed(spark, sf_dir: str, name: str):
     return reader.parquet(str(path.toString())) if inside else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _to_end(df, mode: str):
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _to_end(df):
+    """The complete result of a stream, written by each batch in place of the one before."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "stream")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows")
+    q = df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 @query("stream_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(value) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    out = _to_end(G.windowed_metrics(_streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day"), "complete")
+    out = _to_end(G.windowed_metrics(_streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "count", F.round("sum", 4).alias("sum"), "min", "max")
 
 
 @query("stream_index", f"WITH {S.index_ctes(IndexConfig())} SELECT term, df, ttf FROM terms")
 def stream_index(spark, sf_dir):
     """Postings that a stream appended give the statistics of the whole table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root}/index-{uuid.uuid4().hex}"
+    path = new_folder(spark, "index")
     c = IndexConfig()
-    q = _streamed(spark, sf_dir, "documents").writeStream.foreachBatch(G.index_batches(c, path)).trigger(availableNow=True).start()
+    q = _streamed(spark, sf_dir, "documents").writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(G.index_batches(c, path)).trigger(availableNow=True).start()
     q.awaitTermination()
     stats = spark.read.parquet(f"{path}/doc_stats")
     whole = I.Index(spark.read.parquet(f"{path}/postings").drop("batch"), stats.drop("batch"), I._corpus(stats), c)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import config as settings
+
 
 class Collections:
     """create, save, load, list, drop, backup, restore and health of a base path's collections.
@@ -60,13 +67,43 @@ class Collections:
     def restore(self, source: str, schemas: dict | None = None) -> list[str]:
         return Collections(self.spark, source, self.format).backup(self.base, schemas)
 
+    def put(self, name: str, id: str, value: dict) -> None:
+        """A small entry by id, such as a configuration or the metadata of an index; an older one is replaced."""
+        self.spark.range(1).select(F.lit(id).alias("id"), F.lit(json.dumps(value)).alias("value")).write.mode("overwrite").json(f"{self.base}/{name}/{quote(id, safe='')}")
+
+    def entry(self, name: str, id: str) -> dict | None:
+        where = f"{name}/{quote(id, safe='')}"
+        return json.loads(self.spark.read.schema("id string, value string").json(f"{self.base}/{where}").first()["value"]) if self.exists(where) else None
+
+    def discard(self, name: str, id: str) -> bool:
+        return self.drop(f"{name}/{quote(id, safe='')}")
+
+    def entries(self, name: str) -> list[str]:
+        """The ids of all entries, in order."""
+        if not self.exists(name):
+            return []
+        return sorted(unquote(s.getPath().getName()) for s in self._fs().listStatus(self._path(name)) if s.isDirectory())
+
+    def save_config(self, id: str, config) -> None:
+        """Any of the package's settings."""
+        self.put("configs", id, {"kind": type(config).__name__, **asdict(config)})
+
+    def config(self, id: str):
+        """The settings saved under an id, of their own class, or None."""
+        held = self.entry("configs", id)
+        if held is None:
+            return None
+        kind = getattr(settings, held.pop("kind"))
+        return kind(**held | ({"text": settings.TextConfig(**held["text"])} if "text" in held else {}))
+
     def is_healthy(self) -> bool:
         return bool(self._fs().exists(self._path()))
 
     def stats(self) -> DataFrame:
         """(collection, files, bytes) by the store's own listing, no file read."""
         rows = [(n, s.getFileCount(), s.getLength()) for n in self.names() for s in [self._fs().getContentSummary(self._path(n))]]
-        return self.spark.createDataFrame(rows, "collection string, files long, bytes long")
+        names, files, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+        return self.spark.createDataFrame(pa.table({"collection": pa.array(names, pa.string()), "files": pa.array(files, pa.int64()), "bytes": pa.array(sizes, pa.int64())}))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +111,11 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def load_prompt(spark: SparkSession, path: str) -> str:
+    """One template from a file that Spark reads."""
+    return read_text(spark, path).first()["value"]
+
+
 def shape(rows: DataFrame) -> DataFrame:
     """Non-null values of each column, of a whole collection in one pass."""
     return rows.agg(*[F.count(c).alias(c) for c in rows.columns])

@@ -16,7 +16,7 @@ def test_import_needs_no_session():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["bm25_standard", "tfidf_ad_hoc", "knn_cosine", "memory_summary_context", "store_conjunction", "stem_vocabulary", "metric_histogram_text", "prompt_few_shot", "stream_windows"])
+@pytest.mark.parametrize("name", ["bm25_standard", "tfidf_ad_hoc", "knn_cosine", "memory_summary_context", "store_conjunction", "stem_vocabulary", "metric_histogram_text", "prompt_few_shot", "stream_windows", "bm25_stored", "hybrid_deduplicated", "mmr_rerank", "config_store", "chain_llm_braces"])
 def test_against_sql(spark, name):
     import duckdb
 

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quern.config import HybridConfig, MemoryConfig, VectorConfig
+from quern.config import ERRORS, ConfigError, GenerationConfig, HybridConfig, IndexConfig, MemoryConfig, MemoryError_, ModelConfig, ModelError, RetrievalError, TEXT_PRESETS, VectorConfig, changed
 from quern.functions import prompts as P
 from quern.functions import security as X
 from quern.functions import vectors as V
@@ -13,6 +13,7 @@ from quern.operators import chains as C
 from quern.operators import hybrid as H
 from quern.operators import knn as K
 from quern.operators import memory as M
+from quern.operators import metrics as N
 from quern.operators import store as D
 from quern.sources.collections import Collections
 
@@ -151,3 +152,146 @@ def test_hashed_embedding(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), ([],)], "t array<string>")
     n = [r[0] for r in df.select(V.magnitude(H.hashed_embedding(F.col("t"), 16))).collect()]
     assert math.isclose(n[0], 1.0) and n[1] == 0.0
+
+
+def test_hashed_embedding_against_its_definition(spark):
+    import xxhash
+
+    def chained(word):  # the hash of (word, 1): the second value is hashed with the first hash as seed
+        h = xxhash.xxh64_intdigest(word.encode(), 42)
+        return h, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h)
+
+    signed = lambda h: h - (h >> 63 << 64)
+    words = ["erin", "thre", "thre", "é", "of"]
+    want = [0.0] * 16
+    for w in words:
+        h, g = chained(w)
+        want[signed(h) % 16] += 1.0 if signed(g) >= 0 else -1.0
+    norm = math.sqrt(sum(x * x for x in want))
+    got = spark.createDataFrame([(words,)], "t array<string>").select(H.hashed_embedding(F.col("t"), 16)).first()[0]
+    assert got == pytest.approx([x / norm for x in want])
+
+
+@pytest.mark.parametrize("most_bytes", [K.MOST_BYTES, 0])
+def test_both_forms_of_knn(spark, monkeypatch, most_bytes):
+    """Broadcast queries, and pairs of blocks; ties, sizes that differ, and no rows at all."""
+    monkeypatch.setattr(K, "PAIR_ROWS", 20)
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(90)] + [(100, [1.0]), (101, None)]
+    q = vectors(spark, [(i, [1.0, float(i % 4), 0.5]) for i in range(50)] + [(77, [2.0]), (78, None)]).withColumnRenamed("vec_id", "query_id")
+    c = VectorConfig(dimension=3, k=4, normalize=False, metric="dot")
+    got = {}
+    for x in K.knn(vectors(spark, rows), q, c, most_bytes=most_bytes).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, round(x.score, 6)))
+    for i in range(50):
+        best = sorted(((-sum(a * b for a, b in zip(v, [1.0, float(i % 4), 0.5], strict=True)), j) for j, v in rows[:90]))[:4]
+        assert sorted(got[i]) == [(r + 1, j, round(-s, 6)) for r, (s, j) in enumerate(best)]
+    assert got[77] == [(1, 100, 2.0)] and 78 not in got
+    assert K.knn(vectors(spark, rows).limit(0), q, c, most_bytes=most_bytes).count() == 0 == K.knn(vectors(spark, rows), q.limit(0), c, most_bytes=most_bytes).count()
+
+
+def test_vector_store(spark, tmp_path):
+    c = VectorConfig(dimension=2, max_vectors=5)
+    store = K.stored(vectors(spark, [(3, [3.0, 4.0]), (7, [0.0, 0.0])]), c)
+    new = spark.createDataFrame([(i, [1.0, float(i)]) for i in (20, 10, 30)], "place long, embedding array<float>").repartition(3)
+    got = {r.vec_id: [round(x, 6) for x in r.embedding] for r in K.add(store, new, c, "place").collect()}
+    assert sorted(got) == [3, 7, 8, 9, 10] and got[3] == [0.6, 0.8] and got[7] == [0.0, 0.0] and got[8] == [0.099504, 0.995037]
+    with pytest.raises(ConfigError, match="more than 5"):
+        K.add(store, new.union(new), c, "place")
+    with pytest.raises(Exception, match="dimension"):
+        K.add(store, new.withColumn("embedding", F.array(F.lit(1.0))), c, "place").collect()
+    with pytest.raises(ConfigError, match="cannot change"):
+        K.reconfigured(store, c, VectorConfig(dimension=3))
+    assert K.reconfigured(store.limit(0), c, VectorConfig(dimension=3)).dimension == 3 and K.reconfigured(store, c, VectorConfig(dimension=2, k=1)).k == 1
+    assert K.add(store.limit(0), new.limit(0), c, "place").count() == 0
+    K.save(store, f"file://{tmp_path}/v")
+    assert K.load(spark, f"file://{tmp_path}/v").count() == 2
+    e = K.embed(spark.createDataFrame([("ab",), (None,), ("c",)], "text string"), lambda t: [[len(x)] for x in t], batch=2).collect()
+    assert [r.embedding for r in e] == [[2.0], None, [1.0]]
+    assert K.embed(spark.createDataFrame([("ab",)], "text string"), lambda t: F.array(F.length(t))).first().embedding == [2]
+
+
+def test_documents_with_vectors(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    e = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "doc_id long, embedding array<double>")
+    assert H.paired(docs, e).count() == 2
+    for bad in (e.filter("doc_id = 1"), e.union(e), e.union(e.withColumn("doc_id", F.col("doc_id") + 9))):
+        with pytest.raises(RetrievalError):
+            H.paired(docs, bad)
+
+
+def test_errors_and_settings():
+    assert {c: e.code for c, e in ERRORS.items()} == {c: c for c in ("CONFIG_ERROR", "RETRIEVAL_ERROR", "LLM_ERROR", "MEMORY_ERROR")}
+    assert changed(HybridConfig(), top_k=3).top_k == 3
+    with pytest.raises(ConfigError):
+        changed(HybridConfig(), sparse_weight=0.9)
+    old = ModelConfig(model="gpt-4", api_key="k")
+    new = old.merged(ModelConfig(model="", temperature=0.1))
+    assert (new.model, new.api_key, new.temperature) == ("gpt-4", "k", 0.1)
+    assert GenerationConfig().is_valid() and not GenerationConfig(temperature=3.0).is_valid() and not GenerationConfig(top_p=0.0).is_valid()
+    with pytest.raises(ModelError, match="nosuch"):
+        C.MODELS.make("nosuch")
+
+
+def test_memories_and_saved_conversations(spark, tmp_path):
+    m = spark.createDataFrame([(1, i, "user", "x" * 8) for i in range(12)] + [(2, 0, "user", "y")], "conv_id long, turn long, role string, text string")
+    assert M.remembered("buffer", m, MemoryConfig(max_messages=2)).count() == 3 and M.remembered("summary", m).count() == 3
+    with pytest.raises(MemoryError_, match="graph"):
+        M.remembered("graph", m)
+    M.save(m, f"file://{tmp_path}/m")
+    assert M.load(spark, f"file://{tmp_path}/m").count() == 13 and M.load(spark, f"file://{tmp_path}/m", 2).first().text == "y"
+
+
+def test_long_conversations_and_hot_metrics(spark, monkeypatch):
+    """Totals run over blocks as over the whole; gaps, nulls and ties included."""
+    import random
+
+    monkeypatch.setattr(M, "BLOCK", 3)
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 2, None]), t, "user", "x" * r.randint(0, 30)) for t in r.sample(range(200), 120)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = set()
+    for c in (1, 2, None):
+        used = 0
+        for _, t, _, x in sorted((x for x in rows if x[0] == c), key=lambda x: -x[1]):
+            used += (len(x) + 3) // 4
+            if used <= 60:
+                want.add((c, t))
+    assert {(x.conv_id, x.turn) for x in M.token_buffer(df, MemoryConfig(max_tokens=60)).collect()} == want
+    events = spark.createDataFrame([("a", i, i % 7, 3600 * r.randint(0, 5) + i) for i in range(80)], "name string, id long, delta long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {x.id: x.value for x in N.running_gauge(events, "name", "delta", "ts", "id").collect()}
+    total = 0
+    for x in sorted(events.collect(), key=lambda x: (x.s, x.id)):
+        total += x.delta
+        assert got[x.id] == total
+
+
+def test_entries_of_collections(spark, tmp_path):
+    s = Collections(spark, f"file://{tmp_path}/base")
+    assert s.entries("configs") == [] and s.config("x") is None and s.names() == []
+    s.save_config("a/b c", HybridConfig(top_k=4))
+    s.save_config("index", IndexConfig(max_postings_per_term=None, text=TEXT_PRESETS["search"]))
+    assert s.config("a/b c") == HybridConfig(top_k=4) and s.config("index") == IndexConfig(max_postings_per_term=None, text=TEXT_PRESETS["search"])
+    assert s.entries("configs") == ["a/b c", "index"] and s.discard("configs", "index") and s.entries("configs") == ["a/b c"] and s.is_healthy()
+
+
+def test_sequence_stops_or_goes_on(spark):
+    fails = C.LLMChain("{t}", "a", lambda x: F.when(x != "bad", x))
+    after = C.LLMChain("{t}>{a}", "a", lambda x: x)
+    df = spark.createDataFrame([("ok",), ("bad",)], "t string")
+    run = lambda stop: {r.t: (r.a, r.error) for r in C.sequential(df, [fails, after, after], stop_on_error=stop).collect()}
+    assert run(True) == {"ok": ("ok>ok>ok", None), "bad": (None, "Chain 0 failed")}
+    assert run(False) == {"ok": ("ok>ok>ok", None), "bad": ("bad>bad>", "Chain 0 failed")}
+
+
+def test_template_variables_only(spark):
+    df = spark.createDataFrame([("keep {this} here", None)], "text string, b string")
+    assert C.LLMChain("Repeat {text}", "o", lambda x: x).run(df).first().o == "Repeat keep {this} here"
+    assert C.LLMChain("{a.b} {text} {b}{none}!", "o", lambda x: x).run(df).first().o == "keep {this} here !"
+
+
+def test_json_kinds(spark):
+    from quern.functions import json as J
+
+    df = spark.createDataFrame([('{"a": {"b": [1, null]}}',), ("no json",), (None,)], "j string")
+    got = df.select(J.kind(F.col("j")).alias("k"), J.kind(F.col("j"), "$.a.b[1]").alias("n"), J.contains(F.col("j"), "$.a.b").alias("c"), J.at(F.col("j"), "$.a.b[0]", "int").alias("v")).collect()
+    assert [tuple(r) for r in got] == [("object", "null", True, 1), (None, None, False, None), (None, None, False, None)]

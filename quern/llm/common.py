@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.tables import shared_folder
+
 #: A word is a maximal run of other characters than these six.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows that a function in Python turns into objects at a time; Spark bounds a batch itself by bytes.
@@ -50,17 +51,18 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
-def stable(df: DataFrame) -> DataFrame:
+#: Narrow rows that one file of an intermediate table holds, if their number is known.
+ROWS_A_FILE = 200_000
+
+
+def stable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows, kept as files in the folder of spark.checkpoint.dir, so that a lost executor loses none of them.
 
-    Only a session in one process (as in tests) may go without that setting; it gets a folder of its own.
+    ``rows`` is how many narrow rows go into the last stage: it then has a task for each ``ROWS_A_FILE`` of them, but
+    no more than it would have, so that small tables are not many small files (each takes four processes to write).
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-    return df.checkpoint()
+    shared_folder(df.sparkSession)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).checkpoint()
 
 
 def values(batches: Iterable[pa.Array], rows: int = ROWS_AT_ONCE) -> Iterator[list]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stable
+from quern.llm.common import ROWS_A_FILE, stable
 
 
 def _to_smallest(edges: DataFrame) -> DataFrame:
@@ -28,19 +28,21 @@ def _to_parent(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, most: int | None = None) -> DataFrame:
     """From edges (a, b) of comparable ids to (node, root): each node that has an edge, and the least of its component.
 
+    ``most`` bounds the edges, if that is known: it sizes the files, not the result.
     Self-edges, repeated edges and edges with a null are ignored; no edges give no rows.
     """
     now = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = stable(now), None
+    now, before = stable(now, most), None
+    n = now.count() if most is None or most > ROWS_A_FILE else most
     for _ in range(rounds):
-        now = stable(_to_parent(_to_smallest(now)))
+        now = stable(_to_parent(_to_smallest(now)), 2 * n)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break
-        before = seen
+        before, n = seen, seen[0]
     else:
         raise RuntimeError(f"no stars after {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))

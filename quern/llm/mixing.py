@@ -115,7 +115,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     """The rows with size, source_size, target, copies (0 to ``most``) and taken (size times copies)."""
     spark, name = docs.sparkSession, own_name(docs, "_row")
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS]
-    buckets = 1 + docs.count() // BUCKET_ROWS
+    n = docs.count()
+    buckets = 1 + n // BUCKET_ROWS
     # the caller's columns are one struct from here, so that none of their names can clash with those of the plan
     rows = docs.select(
         F.struct(*rest).alias(name),
@@ -125,8 +126,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
         F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id), F.col(text)), buckets).alias("_bucket"),
         F.struct(uniform(seed, F.col(id), F.col(text)), F.col(id), F.xxhash64(F.col(text))).alias("_order"),
     )
-    parts = stable(rows.groupBy(*KEYS).agg(F.count("*").alias("n")))
-    cells = stable(parts.groupBy("_none", "_source", "size").agg(F.sum("n").alias("n")))
+    parts = stable(rows.groupBy(*KEYS).agg(F.count("*").alias("n")), n)
+    cells = stable(parts.groupBy("_none", "_source", "size").agg(F.sum("n").alias("n")), n)
     known = cells.groupBy("_none", "_source").agg(F.sum(F.col("n") * F.col("size")).alias("w"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("k")).collect()
     wanted = targets([(None if r["_none"] else r["_source"], r["w"]) for r in known], weights, most)
     goals = {(r["_none"], r["_source"]): (wanted[None if r["_none"] else r["_source"]], r["w"], r["w"] / (r["k"] or 1)) for r in known}
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     unit = F.when(F.col("size") > 0, F.round(_rate(F.col("size"), F.col("slope"), most) * UNIT)).otherwise(UNIT).cast("long")
     along = Window.partitionBy("_none", "_source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     lined = cells.join(plan, ["_none", "_source"]).withColumn("unit", unit)
-    lined = stable(lined.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("unit")).over(along), F.lit(0))).drop("slope"))
+    lined = stable(lined.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("unit")).over(along), F.lit(0))).drop("slope"), n)
     starts = [int((j + 0.5) * UNIT / STARTS) for j in range(STARTS)]
     taken = [F.sum(F.col("size") * (F.shiftright(F.col("before") + F.col("n") * F.col("unit") + s, 20) - F.shiftright(F.col("before") + s, 20))).alias(f"t{j}") for j, s in enumerate(starts)]
     tried = {(r["_none"], r["_source"]): r for r in lined.groupBy("_none", "_source").agg(*taken).collect()}

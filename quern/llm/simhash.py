@@ -139,16 +139,17 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 MOST_BLOCKS = 100_000
 
 
-def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
+def links(fps: DataFrame, large: int = LARGE, n_rows: int | None = None) -> DataFrame:
     """From different fingerprints (fp) to edges (a, b) that connect all that differ in three bits or fewer."""
     now = masks()
+    n_rows = len(now) * (fps.count() if n_rows is None else n_rows)
     exploded = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for m in now]))
     rows, found = fps.select(exploded.alias("x"), "fp").select("x.mask", "x.key", "fp"), None
     for level in range(LEVELS + 1):
         last = level == LEVELS
         use, crowded, n = rows, None, 0
         if not last:  # counted in partial sums, so that a crowded block is never in one task before it is split
-            crowded = stable(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > large).select("mask", "key"))
+            crowded = stable(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > large).select("mask", "key"), n_rows)
             n = crowded.count()
         if n:
             hint = F.broadcast(crowded) if n <= MOST_BLOCKS else crowded
@@ -163,14 +164,16 @@ def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
         rest = rows.join(hint, ["mask", "key"], "left_semi")
         rows = rest.select(F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "fp")
         rows = stable(rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
+        n_rows = rows.count()
         now = [y for f in finer.values() for y in f]
     return found
 
 
 def _named(rows: DataFrame, large: int) -> DataFrame:
     """From rows with fp to (fp, root): each fingerprint and the one that names its component."""
-    fps = rows.select("fp").distinct()
-    tied = stable(components(links(stable(fps), large)))
+    n = rows.count()
+    fps = stable(rows.select("fp").distinct(), n)
+    tied = stable(components(links(fps, large, n), most=len(masks()) * n), n)
     return fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -294,7 +294,8 @@ def style_tree(pages: DataFrame, page: str = "html", url: str = "url") -> DataFr
         F.max("inside").alias("inside"), F.max("above").alias("above"), F.sum("returned").alias("returned"), F.min("noise").alias("noise"),
         F.sum(F.when(F.col("returned") > 0, F.col("n"))).alias("given_n"), F.sum(F.when(F.col("returned") > 0, surprise)).alias("given_s"),
     )
-    nodes = stable(nodes)
+    n = pages.count()
+    nodes = stable(nodes, BLOCKS_A_PAGE * n)
     laid = nodes.filter("layout").select("host", "path", (F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)).alias("presentation"))
     text = nodes.filter(~F.col("layout")).withColumn("node", F.explode("above"))
     inside_chars = F.sum(F.when(F.col("inside"), F.col("chars")).otherwise(0))
@@ -360,13 +361,15 @@ def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
     return decide(page, gone)[0]
 
 
+#: Blocks and layouts that a page is taken to have, to size intermediate files.
+BLOCKS_A_PAGE = 64
 #: The table of branches is broadcast up to this many; beyond, it is joined by host, of which AQE splits large ones.
 MOST_BRANCHES = 100_000
 
 
 def extract(pages: DataFrame, page: str = "html", url: str = "url", p: Pruning = Pruning(), names: bool = True) -> DataFrame:
     """The pages with ``text`` (blocks joined by an empty line), ``n_chars`` and ``decided_by``."""
-    gone = stable(unimportant(style_tree(pages, page, url), p))
+    gone = stable(unimportant(style_tree(pages, page, url), p), BLOCKS_A_PAGE * pages.count())
     n = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("n")).first()["n"]
 
     @F.arrow_udf("text string, decided_by string")

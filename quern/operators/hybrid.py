@@ -90,7 +90,7 @@ def dedupe(rows: DataFrame, docs: DataFrame, c: HybridConfig, id: str = "doc_id"
 
 
 def finish(rows: DataFrame, c: HybridConfig) -> DataFrame:
-    order = _query().orderBy(F.desc(F.round("hybrid_score", 9)), "doc_id")
+    order = _query().orderBy(F.desc(F.rint(F.col("hybrid_score") * 1e9)), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= c.top_k)
 
 

@@ -13,15 +13,15 @@ from quern.config import BM25Config, IndexConfig, TextConfig
 from quern.functions.text import process
 from quern.sources.tables import dealt, kept
 
-#: Folders of a stored index, by hash of the term; query terms that are looked up by value, beyond by a join.
-BUCKETS, MOST_TERMS = 64, 20_000
+#: Query terms that are looked up by value, beyond by a join.
+MOST_TERMS = 20_000
 
 
 @dataclass(frozen=True)
 class Index:
     """postings(term, doc_id, tf, dl[, positions]) with the document's length dl, doc_stats(doc_id, term_count, unique_terms), corpus(n_docs, avgdl).
 
-    A stored index also has its terms (bucket, term, df, ttf), and a bucket beside each posting.
+    ``terms`` (term, df, ttf) are there if they were counted; ``matched`` tells that all are terms of a few queries.
     """
 
     postings: DataFrame
@@ -29,10 +29,11 @@ class Index:
     corpus: DataFrame
     config: IndexConfig
     terms: DataFrame | None = None
+    matched: bool = False
 
     def term_stats(self) -> DataFrame:
         """(term, df, ttf, idf, idf_bm25) of the kept postings."""
-        return with_idf(counted_terms(self.postings) if self.terms is None else self.terms.drop("bucket"), self.corpus)
+        return with_idf(counted_terms(self.postings) if self.terms is None else self.terms, self.corpus)
 
     def with_norm(self, rows: DataFrame, length: str) -> DataFrame:
         """Rows with the length normalization of BM25, 1 if the corpus has no token. The corpus is one row."""
@@ -61,28 +62,27 @@ class Index:
         """The index with further documents: postings and lengths are appended, statistics follow."""
         more = build_index(docs, self.config, id, text)
         stats = self.doc_stats.unionByName(more.doc_stats)
-        return Index(_capped(self.postings.drop("bucket").unionByName(more.postings), self.config), stats, _corpus(stats), self.config)
+        return Index(_capped(self.postings.unionByName(more.postings), self.config), stats, _corpus(stats), self.config)
 
     def remove(self, ids: DataFrame, id: str = "doc_id") -> Index:
         gone = ids.select(F.col(id).alias("doc_id"))
         stats = self.doc_stats.join(gone, "doc_id", "left_anti")
-        return Index(self.postings.join(gone, "doc_id", "left_anti").drop("bucket"), stats, _corpus(stats), self.config)
+        return Index(self.postings.join(gone, "doc_id", "left_anti"), stats, _corpus(stats), self.config)
 
     def only(self, terms: DataFrame) -> Index:
         """Only the postings of the terms given: what a batch of queries needs."""
         return Index(self.postings.join(terms, "term", "left_semi"), self.doc_stats, self.corpus, self.config)
 
     def save(self, path: str) -> None:
-        """Files of the tables: postings and terms in folders by hash of the term, sorted, so that a query reads few.
+        """Files of the tables. All postings of a document are in one file, each file is in order of terms.
 
-        Rows are exchanged by ranges of (bucket, term, doc_id), so that a frequent term is written by many tasks.
+        So a ranking adds up most of a document's score before it exchanges anything, a frequent term is spread over
+        all files, and the pages of terms that are not asked for are passed over.
         """
-        postings = self.postings.drop("bucket").withColumn("bucket", _bucket())
-        order = ["bucket", "term", "doc_id"]
-        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        spark = postings.sparkSession
-        stored = spark.read.parquet(f"{path}/postings")
-        counted_terms(stored).withColumn("bucket", _bucket()).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        spark = self.postings.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.postings.repartition(n, "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        counted_terms(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         _corpus(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus")
         config = json.dumps({"kind": type(self.config).__name__, **asdict(self.config)})
@@ -100,10 +100,6 @@ class Index:
         return Index(read("postings"), read("doc_stats"), corpus, config, read("terms"))
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-
-
 def counted_terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
@@ -175,10 +171,18 @@ def matched_index(docs: DataFrame, terms: DataFrame, c: IndexConfig, id: str = "
         return Index(whole.postings.join(terms.select("term").distinct(), "term", "left_semi"), whole.doc_stats, whole.corpus, c)
     hits = F.filter("tokens", lambda t: t.isin(asked)) if asked else F.array().cast("array<string>")
     found = kept(rows.select("doc_id", F.size("tokens").cast("long").alias("term_count"), hits.alias("hits")))
-    postings = found.select("doc_id", F.col("term_count").alias("dl"), F.explode("hits").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    # dealt by document once: neither the counts of a document's terms nor its scores are exchanged after that
+    own = found.filter(F.size("hits") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("term_count").alias("dl"))
+    postings = own.select("doc_id", "dl", F.explode_outer("hits").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     if c.min_term_frequency > 1:
         postings = postings.filter(F.col("tf") >= c.min_term_frequency)
     stats = found.select("doc_id", "term_count")
     one = _corpus(stats).first()  # one row, as literals, so that no plan counts it again
     corpus = docs.sparkSession.range(1).select(F.lit(one["n_docs"]).alias("n_docs"), F.lit(one["avgdl"]).alias("avgdl"))
-    return Index(_capped(postings, c), stats, corpus, c)
+    most = c.max_postings_per_term
+    if most is not None and one["n_docs"] > most:  # only terms beyond the cap, of MOST_TERMS, are ranked by document
+        beyond = [r["term"] for r in counted_terms(postings).filter(F.col("df") > most).select("term").collect()]
+        if beyond:
+            many = F.col("term").isin(beyond)
+            postings = postings.filter(~many).unionByName(_capped(postings.filter(many), c))
+    return Index(postings, stats, corpus, c, counted_terms(postings), True)

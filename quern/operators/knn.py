@@ -194,7 +194,7 @@ def knn(vectors: DataFrame, queries: DataFrame, c: VectorConfig, id: str = "vec_
         found = source.mapInArrow(lambda b: _best(b, sent.value, c), FOUND)
     else:
         found = _by_pairs(source, asked, vectors.count(), size["n"], c)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.rint(F.col("score") * 1e9)), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= c.k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -12,10 +12,14 @@ from pyspark.sql.window import Window
 
 from quern.config import BM25Config, IndexConfig
 from quern.functions.text import process
-from quern.operators.index import MOST_TERMS, Index, _bucket, matched_index, with_idf
+from quern.operators.index import MOST_TERMS, Index, matched_index, with_idf
 from quern.operators.store import by_metadata
 
 
+#: Pairs of a query and a term that are broadcast.
+MOST_PAIRS = 200_000
+
+
 def query_terms(queries: DataFrame, c: IndexConfig, id: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term, qtf, n_terms); queries without a term give no row."""
     tokens = queries.select(F.col(id).alias("query_id"), F.explode(process(F.col(text), c.text)).alias("term"))
@@ -31,15 +35,13 @@ def _hits(index: Index, terms: DataFrame) -> DataFrame:
         counted = own.withColumn("df", F.count("*").over(Window.partitionBy("term")))
         return with_idf(counted, index.corpus).join(terms, "term")
     postings, stats = index.postings, index.terms
-    asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    if len(asked) <= MOST_TERMS:  # by value, so that only the terms' folders and row groups are read
-        buckets = sorted({r["b"] for r in terms.select(_bucket().alias("b")).distinct().collect()})
-        postings = postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
-        stats = stats.filter(F.col("term").isin(asked))
-        weighed = F.broadcast(with_idf(stats.drop("bucket"), index.corpus).join(terms, "term"))  # MOST_TERMS terms at most
-    else:
-        weighed = with_idf(stats.drop("bucket"), index.corpus).join(terms, "term")
-    return postings.select("term", "doc_id", "tf", "dl").join(weighed, "term")
+    small = terms.count() <= MOST_PAIRS
+    if small and not index.matched:
+        asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+        if len(asked) <= MOST_TERMS:  # by value, so that pages of other terms are not read
+            postings, stats = postings.filter(F.col("term").isin(asked)), stats.filter(F.col("term").isin(asked))
+    weighed = with_idf(stats, index.corpus).join(terms, "term")
+    return postings.select("term", "doc_id", "tf", "dl").join(F.broadcast(weighed) if small else weighed, "term")
 
 
 def _candidates(scored: DataFrame) -> DataFrame:
@@ -48,10 +50,15 @@ def _candidates(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_any", any_full).filter(full | ~F.col("_any")).drop("_any")
 
 
+def nine_digits(score: str) -> Column:
+    """What scores are compared by, as a whole number: sums in another order differ in later digits."""
+    return F.rint(F.col(score) * 1e9)
+
+
 def finish(scored: DataFrame, c: IndexConfig) -> DataFrame:
     """(query_id, rank, doc_id, score, total_results) from (query_id, doc_id, score)."""
     per_query = Window.partitionBy("query_id")
-    order = per_query.orderBy(F.desc(F.round("score", 9)), "doc_id")
+    order = per_query.orderBy(F.desc(nine_digits("score")), "doc_id")
     kept = scored.filter(F.col("score") >= c.score_threshold)
     ranked = kept.withColumns({"total_results": F.count("*").over(per_query), "best": F.max("score").over(per_query), "rank": F.row_number().over(order).cast("long")})
     score = F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(F.col("score")) if c.normalize_scores else F.col("score")
@@ -110,7 +117,7 @@ def normalized_tf(index: Index) -> DataFrame:
 
 def top_k(results: DataFrame, k: int) -> DataFrame:
     """The best k of each query again, by score."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(nine_digits("score")), "doc_id")
     return results.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 

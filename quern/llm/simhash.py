@@ -35,19 +35,41 @@ SHINGLE, SEED, MOST_BITS = 3, 42, 3
 LARGE, LEVELS = 4096, 3
 
 
-def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a UTF-8 text, as an unsigned number."""
+def _hashes(raw: bytes | None, shingle: int) -> np.ndarray:
+    """Of all shingles, repeats included; a shorter text is one."""
     words = (raw or b"").lower().split()  # bytes: only A-Z, and only the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 1 or len(words) == shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a UTF-8 text, as an unsigned number."""
+    return _majority(_hashes(raw, shingle))
+
+
+def wide_simhash(raw: bytes | None, shingle: int = SHINGLE, parts: int = 4) -> list[int]:
+    """``parts`` fingerprints: that of the hashes, and those of the hashes mixed anew."""
+    hashes, out = _hashes(raw, shingle), []
+    for i in range(parts):
+        x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        if i:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out.append(_majority(x))
+    return out
 
 
 @F.arrow_udf(T.LongType())
@@ -83,37 +105,43 @@ def _finer(mask: int) -> list[int]:
 
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted different fingerprints of one block: each with the first of those it is connected to."""
+    """For sorted different fingerprints of one block: each that is linked to an earlier one reached, with that one."""
     n = len(fps)
-    left, first = np.arange(n), np.arange(n)
+    left, parent, seen = np.arange(n), np.full(n, -1), np.zeros(n, bool)
     for start in range(n):  # breadth first from the smallest not yet reached
-        if first[start] != start or not (left == start).any():
+        if seen[start]:
             continue
+        seen[start] = True
         left = left[left != start]
-        reach = [start]
-        while reach and len(left):
-            near = np.zeros(len(left), bool)
+        reach = np.array([start])
+        while len(reach) and len(left):
+            best, by = np.full(len(left), 65), np.zeros(len(left), np.int64)
             for i in range(0, len(reach), 64):
-                x = fps[left][:, None] ^ fps[reach[i : i + 64]][None, :]
-                near |= (np.bitwise_count(x) <= MOST_BITS).any(axis=1)
+                part = reach[i : i + 64]
+                x = np.bitwise_count(fps[left][:, None] ^ fps[part][None, :])
+                at = x.argmin(axis=1)
+                least = x[np.arange(len(left)), at]
+                by = np.where(least < best, part[at], by)
+                best = np.minimum(best, least)
+            near = best <= MOST_BITS
             reach = left[near]
-            first[reach] = start
+            parent[reach] = by[near]
+            seen[reach] = True
             left = left[~near]
-            reach = list(reach)
-    tied = np.flatnonzero(first != np.arange(n))
-    return fps[first[tied]], fps[tied]
+    tied = np.flatnonzero(parent >= 0)
+    return fps[parent[tied]], fps[tied]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (mask, key, fp), of which a block may go on in the next batch, to edges."""
-    held = np.zeros((3, 0), np.int64)
+    """From rows sorted by (part, mask, key, fp), of which a block may go on in the next batch, to edges."""
+    held = np.zeros((4, 0), np.int64)
     for batch in _with_end(batches):
-        new = np.zeros((3, 0), np.int64) if batch is None else np.stack([batch.column(n).to_numpy() for n in ("mask", "key", "fp")])
+        new = np.zeros((4, 0), np.int64) if batch is None else np.stack([batch.column(n).to_numpy() for n in (*BLOCK, "fp")])
         rows = np.concatenate([held, new], axis=1)
         if not rows.shape[1]:
             continue
-        mask, key, fps = rows[0], rows[1], rows[2].view(np.uint64)
-        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+        part, fps = rows[0], rows[3].view(np.uint64)
+        cut = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
         starts = np.concatenate([[0], cut]).astype(int)
         ends = np.concatenate([cut, [len(fps)]]).astype(int)
         if batch is not None:  # the last block may go on
@@ -122,12 +150,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = ends - starts
         two = starts[sizes == 2]
         two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= MOST_BITS] if len(two) else two
-        a, b = [fps[two]], [fps[two + 1]] if len(two) else [fps[:0]]
+        g, a, b = [part[two]], [fps[two]], [fps[two + 1]] if len(two) else [fps[:0]]
         for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
             x, y = _forest(fps[s:e])
+            g.append(np.full(len(x), part[s]))
             a.append(x)
             b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (g, a, b)], names=["part", "a", "b"])
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -135,35 +164,37 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+BLOCK = ("part", "mask", "key")
 #: The table of crowded blocks is broadcast up to this many; beyond, it is joined by block, of which AQE splits large ones.
 MOST_BLOCKS = 100_000
 
 
 def links(fps: DataFrame, large: int = LARGE, n_rows: int | None = None) -> DataFrame:
-    """From different fingerprints (fp) to edges (a, b) that connect all that differ in three bits or fewer."""
+    """From different fingerprints (part, fp) to edges (part, a, b), each of two that differ in three bits or fewer,
+    that connect all of one part that do."""
     now = masks()
     n_rows = len(now) * (fps.count() if n_rows is None else n_rows)
     exploded = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for m in now]))
-    rows, found = fps.select(exploded.alias("x"), "fp").select("x.mask", "x.key", "fp"), None
+    rows, found = fps.select("part", exploded.alias("x"), "fp").select("part", "x.mask", "x.key", "fp"), None
     for level in range(LEVELS + 1):
         last = level == LEVELS
         use, crowded, n = rows, None, 0
         if not last:  # counted in partial sums, so that a crowded block is never in one task before it is split
-            crowded = stable(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > large).select("mask", "key"), n_rows)
+            crowded = stable(rows.groupBy(*BLOCK).agg(F.count("*").alias("n")).filter(F.col("n") > large).select(*BLOCK), n_rows)
             n = crowded.count()
         if n:
             hint = F.broadcast(crowded) if n <= MOST_BLOCKS else crowded
-            use = rows.join(hint, ["mask", "key"], "left_anti")
-        sorted_rows = use.select("mask", "key", "fp").repartition(partitions(fps.sparkSession), "mask", "key").sortWithinPartitions("mask", "key", "fp")
-        edges = sorted_rows.mapInArrow(_links, "a long, b long").distinct()
+            use = rows.join(hint, list(BLOCK), "left_anti")
+        sorted_rows = use.select(*BLOCK, "fp").repartition(partitions(fps.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK, "fp")
+        edges = sorted_rows.mapInArrow(_links, "part long, a long, b long").distinct()
         found = edges if found is None else found.union(edges)
         if not n:
             return found
         finer = {m: _finer(m) for m in now}
         table = F.create_map(*[F.lit(x) for m, f in finer.items() for x in (_signed(m), F.array(*[F.lit(_signed(y)) for y in f]))])
-        rest = rows.join(hint, ["mask", "key"], "left_semi")
-        rows = rest.select(F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "fp")
-        rows = stable(rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
+        rest = rows.join(hint, list(BLOCK), "left_semi")
+        rows = rest.select("part", F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "fp")
+        rows = stable(rows.select("part", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
         n_rows = rows.count()
         now = [y for f in finer.values() for y in f]
     return found
@@ -173,7 +204,8 @@ def _named(rows: DataFrame, large: int) -> DataFrame:
     """From rows with fp to (fp, root): each fingerprint and the one that names its component."""
     n = rows.count()
     fps = stable(rows.select("fp").distinct(), n)
-    tied = stable(components(links(fps, large, n), most=len(masks()) * n), n)
+    edges = links(fps.select(F.lit(0).cast("long").alias("part"), "fp"), large, n).select("a", "b")
+    tied = stable(components(edges, most=len(masks()) * n), n)
     return fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -187,19 +219,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lar
     return rows.join(named, "fp").select(id, "fp", "component_id")
 
 
+#: Parts of a wide fingerprint, and the bits of all of them in which near duplicates differ at most. Texts that share
+#: 0.8 of their 5-word shingles, by words that were replaced, share 0.875 of their 3-word ones: an angle of 21 degrees.
+PARTS, MOST_WIDE_BITS = 4, 30
+
+
+def wide_edges(nodes: DataFrame, large: int = LARGE, n: int | None = None) -> DataFrame:
+    """From different wide fingerprints (w: array of ``PARTS`` longs) to edges (a, b) of near ones.
+
+    Candidates are those that are linked in one part at least, or equal in it; then all parts decide. Of those that
+    share a part's value the least stands for all in that part's links.
+    """
+    n = nodes.count() if n is None else n
+    each = nodes.select("w", F.posexplode("w").alias("part", "fp")).withColumn("part", F.col("part").cast("long"))
+    firsts = stable(each.groupBy("part", "fp").agg(F.min("w").alias("first")), PARTS * n)
+    same = each.join(firsts, ["part", "fp"]).select(F.col("first").alias("a"), F.col("w").alias("b"))
+    found = links(firsts.select("part", "fp"), large, PARTS * n)
+    of = lambda x: firsts.select("part", F.col("fp").alias(x), F.col("first").alias(f"{x}_w"))
+    linked = found.join(of("a"), ["part", "a"]).join(of("b"), ["part", "b"]).select(F.col("a_w").alias("a"), F.col("b_w").alias("b"))
+    both = same.unionByName(linked).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.filter(bits <= MOST_WIDE_BITS)
+
+
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", large: int = LARGE) -> DataFrame:
     """One document of each component: that of smallest id, null ids last, and of equal ids the one of smallest hash.
 
-    A row is named by 128 bits hashed from all its columns, so that rows which share an id are told apart; of rows
-    that are equal in every column one stays.
+    Documents are near duplicates if their wide fingerprints are (see ``wide_edges``), which estimates that they share
+    0.8 of their 5-word shingles. A row is named by 128 bits hashed from all its columns, so that rows which share an
+    id are told apart; of rows that are equal in every column one stays.
     """
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def wide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in values(batches):
+            yield pa.array([[_signed(y) for y in wide_simhash(x, parts=PARTS)] for x in part], pa.list_(pa.int64()))
+
     a, b = own_name(docs, "_row_a"), own_name(docs, "_row_b")
     nested = {f.name for f in docs.schema if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))}
     whole = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if c in nested else F.col(c) for c in docs.columns]
     whole += [F.col(c).isNull() for c in docs.columns if c not in nested]  # a hash passes over nulls
     marked = docs.withColumns({a: F.xxhash64(F.lit(7), *whole), b: F.xxhash64(F.lit(8), *whole)})
-    rows = stable(marked.select(F.col(id).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"), fingerprint(F.col(text)).alias("fp")))
-    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull(), "i", "a", "b")).alias("first"))
-    kept = firsts.join(_named(rows, large), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    rows = stable(marked.select(F.col(id).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"), wide(F.col(text).cast("binary")).alias("w")))
+    n = rows.count()
+    firsts = stable(rows.groupBy("w").agg(F.min(F.struct(F.col("i").isNull(), "i", "a", "b")).alias("first")), n)
+    tied = stable(components(wide_edges(firsts.select("w"), large, n), most=PARTS * len(masks()) * n), n)
+    rooted = firsts.join(tied.withColumnRenamed("node", "w"), "w", "left").select("first", F.coalesce("root", "w").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.a").alias(a), F.col("first.b").alias(b))
     return marked.join(kept, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)

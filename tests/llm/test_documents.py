@@ -91,9 +91,10 @@ def test_links_connect_all_near_pairs(spark, large):
     hot = r.getrandbits(64)  # many that share most blocks
     fps |= {hot ^ sum(1 << b for b in r.sample(range(20), r.randint(0, 3))) for _ in range(120)}
     signed = lambda x: x - (x >> 63 << 64)
-    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    df = spark.createDataFrame([(2, signed(x)) for x in fps], "part long, fp long")
     edges = simhash.links(df, large)
-    assert all(((x.a ^ x.b) & (1 << 64) - 1).bit_count() < 64 for x in edges.collect())
+    assert all(((x.a ^ x.b) & (1 << 64) - 1).bit_count() <= 3 and x.part == 2 for x in edges.collect())
+    assert {(x.part, x.a) for x in simhash.links(df.union(df.withColumn("part", F.lit(1).cast("long"))), large).collect()} >= {(p, x.a) for x in edges.collect() for p in (1, 2)}
     got = {}
     for x in components.components(edges).collect():
         got.setdefault(x.root, set()).add(x.node)

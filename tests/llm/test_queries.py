@@ -288,6 +288,44 @@ def stages(spark, tables):
     return out
 
 
+def wide_components(fps):
+    """All pairs: one part differs in three bits at most, all parts together in 30."""
+    fps, parent = sorted(fps), {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            bits = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+            if min(bits) <= 3 and sum(bits) <= simhash.MOST_WIDE_BITS:
+                parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for x in fps:
+        groups[find(x)].add(x)
+    return list(groups.values())
+
+
+def test_near_copies_by_wide_fingerprints(spark):
+    """Copies with one word in a hundred replaced are found, texts that share a third of their words are not."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
+    texts, copies = [[word() for _ in range(r.randint(80, 400))] for _ in range(60)], []
+    for t in texts:
+        c = list(t)
+        for i in r.sample(range(len(c)), max(1, len(c) // 100)):
+            c[i] = word()
+        copies.append(c)
+    other = [t[: len(t) // 3] + [word() for _ in range(2 * len(t) // 3)] for t in texts]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t)) for i, t in enumerate(copies)] + [(200 + i, " ".join(t)) for i, t in enumerate(other)]
+    rows += [(300, "All The Same"), (301, "all the same"), (302, " all\tthe same "), (303, None), (304, "")]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {*range(60), *range(200, 260), 300, 303} <= kept and not kept & {301, 302, 304}
+    assert len(kept & set(range(100, 160))) <= 20
+
+
 def test_pipeline_against_rows_one_by_one(spark, tables):
     quality, near, private, mix, tokens = stages(spark, tables)
     docs = spark.read.parquet(f"{tables}/documents.parquet")
@@ -301,9 +339,10 @@ def test_pipeline_against_rows_one_by_one(spark, tables):
 
     assert Counter(quality[1]) == Counter(x for x in quality[0] if passes(x.text))
 
-    fps = {x.text: slow_simhash(x.text) for x in near[0]}
+    fps = {x.text: tuple(simhash.wide_simhash(x.text and x.text.encode())) for x in near[0]}
+    assert all(f[0] == slow_simhash(t) for t, f in fps.items())
     want, kept = Counter(), Counter()
-    for group in slow_components(set(fps.values())):
+    for group in wide_components(set(fps.values())):
         mine = [x for x in near[0] if fps[x.text] in group]
         least = min((x.doc_id is None, x.doc_id or 0) for x in mine)
         want[least] += 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +58,36 @@ def fill(template: str | Column, values: Mapping[str, Column], missing: str = "e
     return out
 
 
+@dataclass(frozen=True)
+class Template:
+    """A text with the variables that it may use; made by ``simple``, changed into new ones, filled as an expression."""
+
+    text: str
+    names: tuple[str, ...] = ()
+
+    @classmethod
+    def simple(cls, text: str) -> Template:
+        """With the variables that the text shows."""
+        return cls(text, tuple(dict.fromkeys(re.findall(VARIABLE, text))))
+
+    def with_text(self, text: str) -> Template:
+        return replace(self, text=text)
+
+    def with_variable(self, name: str) -> Template:
+        return self if name in self.names else replace(self, names=(*self.names, name))
+
+    def without_variable(self, name: str) -> Template:
+        return replace(self, names=tuple(n for n in self.names if n != name))
+
+    def is_valid(self) -> bool:
+        """Whether every variable of the text is declared."""
+        return set(re.findall(VARIABLE, self.text)) <= set(self.names)
+
+    def format(self, values: Mapping[str, Column]) -> Column:
+        declared(self.text, self.names)
+        return fill(self.text, {n: values[n] for n in self.names if n in values})
+
+
 def few_shot(prefix: str, examples: Sequence[Mapping[str, str]], example: str, values: Mapping[str, Column], suffix: str = "", separator: str = "") -> Column:
     """Prefix, filled examples, the filled input and suffix, as a few-shot prompt has them."""
 

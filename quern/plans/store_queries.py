@@ -279,6 +279,13 @@ def prompt_texts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.lit(shots).alias("shots"), F.lit(steps).alias("steps"))
 
 
+@query("prompt_builders", "SELECT item_id, 'About ' || item_id || ': ' || text AS prompt, true AS valid, false AS bare FROM benchmark")
+def prompt_builders(spark, sf_dir):
+    t = P.Template.simple("{x}").with_text("About {id}: {text}").with_variable("id").with_variable("text").without_variable("x")
+    shown = t.format({"id": F.col("item_id"), "text": F.col("text")})
+    return table(spark, sf_dir, "benchmark").select("item_id", shown.alias("prompt"), F.lit(t.is_valid()).alias("valid"), F.lit(t.without_variable("id").is_valid()).alias("bare"))
+
+
 @query("prompt_loaded", "SELECT item_id, 'From a file: ' || text AS prompt FROM benchmark")
 def prompt_loaded(spark, sf_dir):
     path = new_folder(spark, "prompt")

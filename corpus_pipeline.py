@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, mixing, pii, quality_model, simhash
-from quern.llm.common import remainder, stable, table
+from quern.llm.common import remainder, table
 from quern.llm.queries import SURROGATE_KEY
+from quern.sources.tables import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -65,7 +66,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stable(stage(spark, docs, sf_dir))
+    """The last stage's rows; each stage before it is written as Parquet to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,9 @@ def _hits(index: Index, terms: DataFrame) -> DataFrame:
     """Postings of the query terms with df and idf; statistics are of these terms only, over all documents."""
     if index.terms is None:
         own = index.only(terms.select("term").distinct()).postings.select("term", "doc_id", "tf", "dl")
+        if index.config.max_postings_per_term is None:  # a term may have any number: counted in partial sums
+            df = own.groupBy("term").agg(F.count("*").alias("df"))
+            return own.join(with_idf(df, index.corpus).join(terms, "term"), "term")
         # postings are dealt by term when they are capped: counting beside them saves computing them twice for a join
         counted = own.withColumn("df", F.count("*").over(Window.partitionBy("term")))
         return with_idf(counted, index.corpus).join(terms, "term")

@@ -438,3 +438,24 @@ def test_encoder_is_that_of_the_library():
     with pytest.raises(ValueError, match="leaves characters out"):
         bpe.Codec(bpe.read_ranks(RANKS), r"[a-z]+").encode("ab 12")
     assert re.fullmatch(r"[0-9a-f]{64}", hashlib.sha256(c.encode("x" * 1000).tobytes()).hexdigest())
+
+
+def test_hot_groups_over_many_partitions(spark):
+    """A third of the rows are copies of one text, a third near copies of another, in 211 partitions."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
+    near, same = [word() for _ in range(300)], " ".join(word() for _ in range(100))
+    rows = [(3 * i, same, "s", "hot") for i in range(400)]
+    for i in range(400):
+        t = list(near)
+        t[r.randrange(300)] = word()
+        rows.append((3 * i + 1, " ".join(t), "s", "hot"))
+    rows += [(3 * i + 2, " ".join(word() for _ in range(r.randint(20, 60))), "s", r.choice("ab")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(211)
+    for large in (simhash.LARGE, 50):  # as it is, and with blocks that are crowded
+        kept = [x.doc_id for x in simhash.keep_one(df, large=large).collect()]
+        fps = {x[0]: tuple(simhash.wide_simhash(x[1].encode())) for x in rows}
+        groups = wide_components(set(fps.values()))
+        assert len(kept) == len(groups) < 500 and {min(i for i, f in fps.items() if f in g) for g in groups} == set(kept)
+    got = mixing.mix(df).collect()
+    check_mix([(x["size"], x.source, x.copies) for x in got], lambda n: n)

@@ -21,7 +21,8 @@ MOST_TERMS = 20_000
 class Index:
     """postings(term, doc_id, tf, dl[, positions]) with the document's length dl, doc_stats(doc_id, term_count, unique_terms), corpus(n_docs, avgdl).
 
-    ``terms`` (term, df, ttf) are there if they were counted; ``matched`` tells that all are terms of a few queries.
+    ``terms`` (term, df, ttf) are there if they were counted; ``matched`` tells that all are terms of a few queries;
+    ``numbers`` are the corpus row's values, if the driver knows them.
     """
 
     postings: DataFrame
@@ -30,16 +31,29 @@ class Index:
     config: IndexConfig
     terms: DataFrame | None = None
     matched: bool = False
+    numbers: tuple[int, float] | None = None
+
+    def _beside(self, rows: DataFrame) -> DataFrame:
+        """Rows with n_docs and avgdl."""
+        if self.numbers is None:
+            return rows.crossJoin(F.broadcast(self.corpus))  # one row
+        return rows.withColumns({"n_docs": F.lit(self.numbers[0]), "avgdl": F.lit(self.numbers[1])})
 
     def term_stats(self) -> DataFrame:
         """(term, df, ttf, idf, idf_bm25) of the kept postings."""
-        return with_idf(counted_terms(self.postings) if self.terms is None else self.terms, self.corpus)
+        return self.with_idf(counted_terms(self.postings) if self.terms is None else self.terms)
+
+    def with_idf(self, stats: DataFrame) -> DataFrame:
+        """Adds idf (of TF-IDF) and idf_bm25 to rows with df."""
+        n, df = F.col("n_docs").cast("double"), F.col("df").cast("double")
+        bm25 = F.when(df < n, F.log(1 + (n - df + 0.5) / (df + 0.5))).when(df == n, F.lit(0.01)).otherwise(0.0)
+        return self._beside(stats).withColumns({"idf": F.log((n + 1) / df) + 1, "idf_bm25": bm25}).drop("n_docs", "avgdl")
 
     def with_norm(self, rows: DataFrame, length: str) -> DataFrame:
         """Rows with the length normalization of BM25, 1 if the corpus has no token. The corpus is one row."""
         c = self.config if isinstance(self.config, BM25Config) else BM25Config()
         norm = F.when(F.col("avgdl") > 0, 1 - c.b + c.b * F.col(length) / F.col("avgdl")).otherwise(1.0)
-        return rows.crossJoin(F.broadcast(self.corpus)).withColumn("norm", norm).drop("n_docs", "avgdl")
+        return self._beside(rows).withColumn("norm", norm).drop("n_docs", "avgdl")
 
     def doc_lengths(self) -> DataFrame:
         return self.with_norm(self.doc_stats, "term_count")
@@ -94,23 +108,16 @@ class Index:
         held = json.loads(spark.read.text(f"{path}/config").first()["value"])
         kind = {"IndexConfig": IndexConfig, "BM25Config": BM25Config}[held.pop("kind")]
         config = kind(**held | {"text": TextConfig(**held["text"])})
-        one = spark.read.parquet(f"{path}/corpus").first()
-        corpus = spark.range(1).select(F.lit(one["n_docs"]).alias("n_docs"), F.lit(one["avgdl"]).alias("avgdl"))
+        corpus = spark.read.parquet(f"{path}/corpus")
+        one = corpus.first()
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(read("postings"), read("doc_stats"), corpus, config, read("terms"))
+        return Index(read("postings"), read("doc_stats"), corpus, config, read("terms"), numbers=(one["n_docs"], one["avgdl"]))
 
 
 def counted_terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
 
-def with_idf(stats: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Adds idf (of TF-IDF) and idf_bm25 to rows with df; the corpus is one row."""
-    n, df = F.col("n_docs").cast("double"), F.col("df").cast("double")
-    bm25 = F.when(df < n, F.log(1 + (n - df + 0.5) / (df + 0.5))).when(df == n, F.lit(0.01)).otherwise(0.0)
-    return stats.crossJoin(F.broadcast(corpus.select("n_docs"))).withColumns({"idf": F.log((n + 1) / df) + 1, "idf_bm25": bm25}).drop("n_docs")
-
-
 def _corpus(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("term_count"), F.lit(0.0)).alias("avgdl"))
 
@@ -177,12 +184,12 @@ def matched_index(docs: DataFrame, terms: DataFrame, c: IndexConfig, id: str = "
     if c.min_term_frequency > 1:
         postings = postings.filter(F.col("tf") >= c.min_term_frequency)
     stats = found.select("doc_id", "term_count")
-    one = _corpus(stats).first()  # one row, as literals, so that no plan counts it again
-    corpus = docs.sparkSession.range(1).select(F.lit(one["n_docs"]).alias("n_docs"), F.lit(one["avgdl"]).alias("avgdl"))
+    corpus = _corpus(stats)
+    one = corpus.first()
     most = c.max_postings_per_term
     if most is not None and one["n_docs"] > most:  # only terms beyond the cap, of MOST_TERMS, are ranked by document
         beyond = [r["term"] for r in counted_terms(postings).filter(F.col("df") > most).select("term").collect()]
         if beyond:
             many = F.col("term").isin(beyond)
             postings = postings.filter(~many).unionByName(_capped(postings.filter(many), c))
-    return Index(postings, stats, corpus, c, counted_terms(postings), True)
+    return Index(postings, stats, corpus, c, counted_terms(postings), True, (one["n_docs"], one["avgdl"]))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quern.config import BM25Config, IndexConfig
 from quern.functions.text import process
-from quern.operators.index import MOST_TERMS, Index, matched_index, with_idf
+from quern.operators.index import MOST_TERMS, Index, matched_index
 from quern.operators.store import by_metadata
 
 
@@ -33,17 +33,20 @@ def _hits(index: Index, terms: DataFrame) -> DataFrame:
         own = index.only(terms.select("term").distinct()).postings.select("term", "doc_id", "tf", "dl")
         if index.config.max_postings_per_term is None:  # a term may have any number: counted in partial sums
             df = own.groupBy("term").agg(F.count("*").alias("df"))
-            return own.join(with_idf(df, index.corpus).join(terms, "term"), "term")
+            return own.join(index.with_idf(df).join(terms, "term"), "term")
         # postings are dealt by term when they are capped: counting beside them saves computing them twice for a join
         counted = own.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-        return with_idf(counted, index.corpus).join(terms, "term")
+        return index.with_idf(counted).join(terms, "term")
     postings, stats = index.postings, index.terms
-    small = terms.count() <= MOST_PAIRS
+    pairs = terms.limit(MOST_PAIRS + 1).toArrow()
+    small = pairs.num_rows <= MOST_PAIRS
+    if small:
+        terms = terms.sparkSession.createDataFrame(pairs)  # a local relation: the queries are analysed once
     if small and not index.matched:
-        asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+        asked = pairs["term"].unique().to_pylist()
         if len(asked) <= MOST_TERMS:  # by value, so that pages of other terms are not read
             postings, stats = postings.filter(F.col("term").isin(asked)), stats.filter(F.col("term").isin(asked))
-    weighed = with_idf(stats, index.corpus).join(terms, "term")
+    weighed = index.with_idf(stats).join(terms, "term")
     return postings.select("term", "doc_id", "tf", "dl").join(F.broadcast(weighed) if small else weighed, "term")
 
 

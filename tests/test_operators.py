@@ -295,3 +295,24 @@ def test_json_kinds(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, null]}}',), ("no json",), (None,)], "j string")
     got = df.select(J.kind(F.col("j")).alias("k"), J.kind(F.col("j"), "$.a.b[1]").alias("n"), J.contains(F.col("j"), "$.a.b").alias("c"), J.at(F.col("j"), "$.a.b[0]", "int").alias("v")).collect()
     assert [tuple(r) for r in got] == [("object", "null", True, 1), (None, None, False, None), (None, None, False, None)]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from quern.sources import tables
+
+    session = lambda master, named=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="shared|share"):
+            tables.shared_folder(session(master))
+    assert tables.shared_folder(session("yarn", "hdfs://shared/")) == "hdfs://shared" and "quern-" in tables.shared_folder(session("local[4]"))
+
+
+def test_only_small_tables_are_dealt(spark, monkeypatch):
+    from quern.sources import tables
+
+    df = spark.range(100, numPartitions=1)
+    assert tables.dealt(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "SMALL_BYTES", 1)
+    assert tables.dealt(df).rdd.getNumPartitions() == 1

@@ -59,7 +59,7 @@ def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
     return _majority(_hashes(raw, shingle))
 
 
-def wide_simhash(raw: bytes | None, shingle: int = SHINGLE, parts: int = 4) -> list[int]:
+def wide_simhash(raw: bytes | None, shingle: int = SHINGLE, parts: int = 8) -> list[int]:
     """``parts`` fingerprints: that of the hashes, and those of the hashes mixed anew."""
     hashes, out = _hashes(raw, shingle), []
     for i in range(parts):
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lar
 
 #: Parts of a wide fingerprint, and the bits of all of them in which near duplicates differ at most. Texts that share
 #: 0.8 of their 5-word shingles, by words that were replaced, share 0.875 of their 3-word ones: an angle of 21 degrees.
-PARTS, MOST_WIDE_BITS = 4, 30
+PARTS, MOST_WIDE_BITS = 8, 60
 
 
 def wide_edges(nodes: DataFrame, large: int = LARGE, n: int | None = None) -> DataFrame:

@@ -289,7 +289,7 @@ def stages(spark, tables):
 
 
 def wide_components(fps):
-    """All pairs: one part differs in three bits at most, all parts together in 30."""
+    """All pairs: one part differs in three bits at most, all parts together in MOST_WIDE_BITS."""
     fps, parent = sorted(fps), {}
 
     def find(x):

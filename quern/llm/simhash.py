@@ -165,17 +165,28 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 BLOCK = ("part", "mask", "key")
+
+
+def _key() -> Column:
+    """The bits of a block."""
+    return F.col("fp").bitwiseAND(F.col("mask"))
+
+
 #: The table of crowded blocks is broadcast up to this many; beyond, it is joined by block, of which AQE splits large ones.
 MOST_BLOCKS = 100_000
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", _key())
+
+
 def _crowded(rows: DataFrame, large: int, n_rows: int) -> DataFrame:
     """Blocks of more than ``large`` fingerprints, counted in partial sums, so that none is in one task before its split.
 
     Only blocks of which one fingerprint in ``every``, chosen by hash, makes half the number are counted. One that is
     missed by such odds (1 in 10**5) is compared in one piece: that takes longer and gives the same links.
     """
-    every = max(1, large // 64)
+    rows, every = _keyed(rows), max(1, large // 64)
     count = lambda x: x.groupBy(*BLOCK).agg(F.count("*").alias("n"))
     some = rows.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0)
     if every == 1:
@@ -193,8 +204,8 @@ def links(fps: DataFrame, large: int = LARGE, n_rows: int | None = None) -> Data
     that connect all of one part that do."""
     now = masks()
     n_rows = len(now) * (fps.count() if n_rows is None else n_rows)
-    exploded = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for m in now]))
-    rows, found = fps.select("part", exploded.alias("x"), "fp").select("part", "x.mask", "x.key", "fp"), None
+    # the key is computed anew on either side of an exchange, which then carries a third less
+    rows, found = fps.select("part", F.explode(F.array(*[F.lit(_signed(m)) for m in now])).alias("mask"), "fp"), None
     for level in range(LEVELS + 1):
         last = level == LEVELS
         use, crowded, n = rows, None, 0
@@ -203,17 +214,16 @@ def links(fps: DataFrame, large: int = LARGE, n_rows: int | None = None) -> Data
             n = crowded.count()
         if n:
             hint = F.broadcast(crowded) if n <= MOST_BLOCKS else crowded
-            use = rows.join(hint, list(BLOCK), "left_anti")
-        sorted_rows = use.select(*BLOCK, "fp").repartition(partitions(fps.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK, "fp")
-        edges = sorted_rows.mapInArrow(_links, "part long, a long, b long").distinct()
+            use = _keyed(rows).join(hint, list(BLOCK), "left_anti").select("part", "mask", "fp")
+        dealt = use.repartition(partitions(fps.sparkSession), "part", "mask", _key())
+        edges = _keyed(dealt).sortWithinPartitions(*BLOCK, "fp").select(*BLOCK, "fp").mapInArrow(_links, "part long, a long, b long").distinct()
         found = edges if found is None else found.union(edges)
         if not n:
             return found
         finer = {m: _finer(m) for m in now}
         table = F.create_map(*[F.lit(x) for m, f in finer.items() for x in (_signed(m), F.array(*[F.lit(_signed(y)) for y in f]))])
-        rest = rows.join(hint, list(BLOCK), "left_semi")
-        rows = rest.select("part", F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "fp")
-        rows = stable(rows.select("part", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
+        rest = _keyed(rows).join(hint, list(BLOCK), "left_semi")
+        rows = stable(rest.select("part", F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "fp"))
         n_rows = rows.count()
         now = [y for f in finer.values() for y in f]
     return found

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from quern.config import ConfigError, VectorConfig
 from quern.functions import vectors as V
+from quern.sources.tables import kept
 
 #: Query vectors compared at once; bytes of queries that are broadcast; vectors and queries of a pair of blocks beyond.
 BLOCK, MOST_BYTES, PAIR_ROWS = 2048, 64 << 20, 65_536
@@ -39,12 +40,15 @@ def add(store: DataFrame, vectors: DataFrame, c: VectorConfig, order: str, id: s
     """The store with the vectors: sizes are checked, ids go on after the store's largest, in the order of a column.
 
     More than ``max_vectors`` in all is an error, and none is added. Numbers are given by ranges of the order, so that
-    no task sees all rows.
+    no task sees all rows. The ranges are kept as files: computed again, they would have other bounds, as these come
+    from a sample, and be merged in another way, as that goes by the columns read; ids would then repeat.
     """
     n, last, more = store.count(), store.agg(F.coalesce(F.max(id), F.lit(-1)).alias("m")).first()["m"], vectors.count()
     if n + more > c.max_vectors:
         raise ConfigError(f"{n + more} vectors are more than {c.max_vectors}")
-    dealt = vectors.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    columns = dict.fromkeys([*(x for x in store.columns if x != id), embedding])
+    place = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    dealt = kept(vectors.repartitionByRange(order).sortWithinPartitions(order).select(*columns, *place))
     sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each task
     starts, at = {}, last + 1
     for p in sorted(sizes):

@@ -34,10 +34,12 @@ class Condition:
 
 @dataclass(frozen=True)
 class Query:
+    """A page of ``limit`` rows after the first ``offset``; no limit (None) is all of them."""
+
     conditions: tuple[Condition, ...] = ()
     order_by: str | None = None
     ascending: bool = True
-    limit: int = 100
+    limit: int | None = 100
     offset: int = 0
 
 
@@ -48,9 +50,10 @@ def predicate(df: DataFrame, conditions: Sequence[Condition]) -> Column:
 
 
 def query(df: DataFrame, q: Query, id: str = "id") -> DataFrame:
-    """Filter, order (by id if nothing else is asked, and among equals), one page."""
+    """Filter, order (by id if nothing else is asked, and among equals), one page or all rows."""
     order = [F.col(q.order_by).asc() if q.ascending else F.col(q.order_by).desc()] if q.order_by else []
-    return df.filter(predicate(df, q.conditions)).orderBy(*order, F.col(id).asc()).offset(q.offset).limit(q.limit)
+    found = df.filter(predicate(df, q.conditions)).orderBy(*order, F.col(id).asc()).offset(q.offset)
+    return found if q.limit is None else found.limit(q.limit)
 
 
 def count(df: DataFrame, conditions: Sequence[Condition] = ()) -> DataFrame:

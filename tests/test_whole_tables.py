@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.config import VectorConfig
 from quern.operators import knn as K
+from quern.operators import store as D
+from quern.plans import catalog, store_queries  # noqa: F401
 
 
 def test_added_vectors_have_ids_of_their_own_however_ranges_are_merged(spark):
@@ -24,3 +26,26 @@ def test_added_vectors_have_ids_of_their_own_however_ranges_are_merged(spark):
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sorted(got) == [(9, 1000), *((10 + i, i) for i in range(400))]
+
+
+def rows_and_sql(spark, tmp_path, name, sizes):
+    """A query's rows, and those of its SQL, on a table of 18,000 parts that take these sizes in turn."""
+    import duckdb
+
+    size = F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % len(sizes) + 1).cast("int"))
+    parts = spark.range(18_000).select(F.col("id").alias("p_partkey"), F.lit("PROMO").alias("p_type"), size.alias("p_size"))
+    parts.write.parquet(f"file://{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, f"file://{tmp_path}").collect()]
+    return got, sorted(con.sql(catalog.ORACLES[name]).fetchall())
+
+
+def test_greater_than_returns_all_rows(spark, tmp_path):
+    got, want = rows_and_sql(spark, tmp_path, "store_greater_than", (45, 46, 50))
+    assert len(got) == 12_000 and got == want  # also in the order of the id
+
+
+def test_no_limit_after_an_offset(spark):
+    assert [r.id for r in D.query(spark.range(150), D.Query(limit=None, offset=20)).collect()] == list(range(20, 150))
+    assert D.query(spark.range(150), D.Query()).count() == 100

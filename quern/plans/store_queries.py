@@ -36,7 +36,7 @@ def _store(name: str, tbl: str, q: Query, id: str, where: str, columns: str, pag
 _store("store_equals", "orders", Query((Condition("o_orderstatus", "equals", "F"),)), "o_orderkey", "o_orderstatus = 'F'", "o_orderkey, o_custkey", "ORDER BY o_orderkey LIMIT 100")
 _store("store_contains", "part", Query((Condition("p_type", "contains", "ECON"),)), "p_partkey", "contains(p_type, 'ECON')", "p_partkey, p_type", "ORDER BY p_partkey LIMIT 100")
 _store("store_starts_with", "part", Query((Condition("p_brand", "starts_with", "Brand#1"),), "p_name", False), "p_partkey", "starts_with(p_brand, 'Brand#1')", "p_partkey, p_name", "ORDER BY p_name DESC, p_partkey LIMIT 100")
-_store("store_less_than", "part", Query((Condition("p_size", "less_than", 5),), limit=5000), "p_partkey", "p_size < 5", "p_partkey, p_size")
+_store("store_less_than", "part", Query((Condition("p_size", "less_than", 5),), limit=None), "p_partkey", "p_size < 5", "p_partkey, p_size")
 _store("store_greater_than", "part", Query((Condition("p_size", "greater_than", 45),), limit=None), "p_partkey", "p_size > 45", "p_partkey, p_size")
 _store("store_conjunction", "orders", Query((Condition("o_orderstatus", "equals", "O"), Condition("o_orderpriority", "starts_with", "1"), Condition("o_custkey", "less_than", 200)), "o_custkey", True, 25, 10), "o_orderkey", "o_orderstatus = 'O' AND starts_with(o_orderpriority, '1') AND o_custkey < 200", "o_orderkey, o_custkey", "ORDER BY o_custkey, o_orderkey LIMIT 25 OFFSET 10")
 _store("store_missing_field", "orders", Query((Condition("no_such_field", "equals", 1),)), "o_orderkey", "false", "o_orderkey")

@@ -46,6 +46,11 @@ def test_greater_than_returns_all_rows(spark, tmp_path):
     assert len(got) == 12_000 and got == want  # also in the order of the id
 
 
+def test_less_than_returns_all_rows(spark, tmp_path):
+    got, want = rows_and_sql(spark, tmp_path, "store_less_than", (5, 4, 1))
+    assert len(got) == 12_000 and got == want
+
+
 def test_no_limit_after_an_offset(spark):
     assert [r.id for r in D.query(spark.range(150), D.Query(limit=None, offset=20)).collect()] == list(range(20, 150))
     assert D.query(spark.range(150), D.Query()).count() == 100

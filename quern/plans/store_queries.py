@@ -41,7 +41,7 @@ _store("store_greater_than", "part", Query((Condition("p_size", "greater_than",
 _store("store_conjunction", "orders", Query((Condition("o_orderstatus", "equals", "O"), Condition("o_orderpriority", "starts_with", "1"), Condition("o_custkey", "less_than", 200)), "o_custkey", True, 25, 10), "o_orderkey", "o_orderstatus = 'O' AND starts_with(o_orderpriority, '1') AND o_custkey < 200", "o_orderkey, o_custkey", "ORDER BY o_custkey, o_orderkey LIMIT 25 OFFSET 10")
 _store("store_missing_field", "orders", Query((Condition("no_such_field", "equals", 1),)), "o_orderkey", "false", "o_orderkey")
 _store("store_past_end", "nation", Query(offset=1000), "n_nationkey", "true", "n_nationkey", "ORDER BY n_nationkey LIMIT 100 OFFSET 1000")
-_store("store_further_operators", "part", Query((Condition("p_size", "not_equals", 10), Condition("p_size", "less_than_or_equal", 20), Condition("p_size", "greater_than_or_equal", 8), Condition("p_type", "ends_with", "O"), Condition("p_size", "in", (9, 11, 20))), limit=5000), "p_partkey", "p_size <> 10 AND p_size <= 20 AND p_size >= 8 AND ends_with(p_type, 'O') AND p_size IN (9, 11, 20)", "p_partkey, p_size")
+_store("store_further_operators", "part", Query((Condition("p_size", "not_equals", 10), Condition("p_size", "less_than_or_equal", 20), Condition("p_size", "greater_than_or_equal", 8), Condition("p_type", "ends_with", "O"), Condition("p_size", "in", (9, 11, 20))), limit=None), "p_partkey", "p_size <> 10 AND p_size <= 20 AND p_size >= 8 AND ends_with(p_type, 'O') AND p_size IN (9, 11, 20)", "p_partkey, p_size")
 
 
 @query("store_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_custkey > 500")

@@ -51,6 +51,11 @@ def test_less_than_returns_all_rows(spark, tmp_path):
     assert len(got) == 12_000 and got == want
 
 
+def test_further_operators_return_all_rows(spark, tmp_path):
+    got, want = rows_and_sql(spark, tmp_path, "store_further_operators", (9, 10, 20))
+    assert len(got) == 12_000 and got == want
+
+
 def test_no_limit_after_an_offset(spark):
     assert [r.id for r in D.query(spark.range(150), D.Query(limit=None, offset=20)).collect()] == list(range(20, 150))
     assert D.query(spark.range(150), D.Query()).count() == 100
